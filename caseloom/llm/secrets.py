@@ -1,0 +1,219 @@
+"""Secrets in texts, in DataFrame functions only.
+
+Base patterns: assignments, access keys and long hex runs.  On top of them, every candidate
+string is scanned with a window of WINDOW characters whose Shannon entropy is kept by
+incremental counts: a step adds the entering character and takes out the leaving one, changing
+the sum of n*log2(n) by two terms.  Each character class has its own limit, and an allow-list
+suppresses strings that are known not to be secrets.
+
+Positions without a position-aware regex function: each match is wrapped in two private-use
+characters, the text is split on them, and the lengths of the parts are added up.  The same
+characters in the text are first replaced by another single one that no pattern can match.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The base patterns and their names in order.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+KINDS = ("assign", "access", "hex", "entropy")
+
+OPEN, CLOSE, PLAIN = "", "", "·"
+WINDOW = 20
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Character classes from narrow to wide, with the least entropy in bits of a window.
+CLASSES = (
+    ("digits", r"^[0-9]+$", 9.0),
+    ("hex", r"^[0-9a-fA-F]+$", 3.0),
+    ("lower", r"^[a-z_-]+$", 9.0),
+    ("upper", r"^[A-Z_-]+$", 9.0),
+    ("letters", r"^[A-Za-z_-]+$", 4.1),
+    ("mixed", r"^.*$", 3.7),
+)
+#: Strings that are never secrets: paths, words joined by marks, repeated short patterns, UUIDs
+#: and the key of public documentation.
+ALLOWED = (
+    r"/.*/",
+    r"^(?:[A-Za-z]+[-_/])+[A-Za-z]+[0-9]{0,4}$",
+    r"^(.{1,8}?)\1{2,}",
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"(?i)example",
+)
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+SPAN = "struct<start:int,kind:int,end:int>"
+_NONE = f"array<{SPAN}>"
+
+
+def _spans(text: Column, pattern: str, kind: int, ok) -> Column:
+    """Spans of the leftmost, non-overlapping matches of pattern for which ok(match) holds."""
+    parts = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
+    start = F.struct(
+        F.length(F.element_at(parts, 1)).alias("pos"), F.array().cast(_NONE).alias("found")
+    )
+
+    def step(state: Column, part: Column) -> Column:
+        match = F.substring_index(part, CLOSE, 1)
+        end = state["pos"] + F.length(match)
+        span = F.struct(
+            state["pos"].alias("start"), F.lit(kind).alias("kind"), end.alias("end")
+        )
+        return F.struct(
+            (state["pos"] + F.length(part) - 1).alias("pos"),
+            F.when(ok(match), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
+        )
+
+    rest = F.slice(parts, F.lit(2), F.size(parts))
+    return F.when(text.rlike(pattern), F.aggregate(rest, start, step, lambda s: s["found"])).otherwise(
+        F.array().cast(_NONE)
+    )
+
+
+def _plogp(n: Column) -> Column:
+    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+
+
+def top_entropy(string: Column, window: int = WINDOW) -> Column:
+    """Highest entropy in bits of any window of a string of the base-64 alphabet."""
+    code = lambda at: F.instr(F.lit(_ALPHABET), F.substring(string, at, F.lit(1)))
+    zero = F.struct(
+        F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"),
+        F.lit(0.0).alias("s"),
+        F.lit(0.0).alias("top"),
+    )
+
+    def step(state: Column, at: Column) -> Column:
+        enter = code(at)
+        leave = F.when(at > window, code(at - window)).otherwise(F.lit(0))
+        moved = enter != leave
+        gain = F.element_at(state["counts"], enter)
+        loss = F.element_at(state["counts"], F.greatest(leave, F.lit(1)))
+        counts = F.when(
+            moved,
+            F.transform(
+                state["counts"],
+                lambda n, i: n
+                + F.when(i + 1 == enter, F.lit(1)).otherwise(F.lit(0))
+                - F.when(i + 1 == leave, F.lit(1)).otherwise(F.lit(0)),
+            ),
+        ).otherwise(state["counts"])
+        s = state["s"] + F.when(
+            moved,
+            _plogp(gain + 1) - _plogp(gain)
+            + F.when(leave > 0, _plogp(loss - 1) - _plogp(loss)).otherwise(F.lit(0.0)),
+        ).otherwise(F.lit(0.0))
+        bits = F.lit(_log2(window)) - s / F.lit(float(window))
+        return F.struct(
+            counts.alias("counts"),
+            s.alias("s"),
+            F.when(at >= window, F.greatest(state["top"], bits)).otherwise(state["top"]).alias("top"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(string)), zero, step, lambda s: s["top"])
+
+
+def _log2(x: int) -> float:
+    import math
+
+    return math.log2(x)
+
+
+def _is_random(string: Column) -> Column:
+    """Whether the entropy scan reports a candidate string."""
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | string.rlike(pattern)
+    limit = F.lit(9.0)
+    for _, pattern, bits in reversed(CLASSES):
+        limit = F.when(string.rlike(pattern), F.lit(bits)).otherwise(limit)
+    possible = limit <= F.lit(_log2(WINDOW))
+    return F.when(~possible | allowed, F.lit(False)).otherwise(top_entropy(string) >= limit)
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    one = lambda s: F.concat_ws(
+        ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")
+    )
+    return F.concat_ws(",", F.transform(spans, one))
+
+
+def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the columns _base and _all: sorted arrays of spans (start, kind, end).
+
+    Positions are code points, end exclusive; the order is by start, then kind as in KINDS.
+    """
+    text = F.translate(
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")), OPEN + CLOSE, PLAIN + PLAIN
+    )
+    value = lambda m: F.regexp_extract(m, ASSIGN, 2)
+    # runs of hex digits and access keys below the least length never count, whether the
+    # pattern takes them and they are dropped or the pattern asks for that length
+    assign = _spans(text, ASSIGN, 0, lambda m: F.length(value(m)) >= 8)
+    access = _spans(text, ACCESS.replace("+", "{12,}"), 1, lambda m: F.lit(True))
+    hexes = _spans(text, HEX.replace("+", "{32,}"), 2, lambda m: F.lit(True))
+    random = _spans(text, CANDIDATE, 3, _is_random)
+    out = docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexes)))
+    return out.withColumn("_all", F.array_sort(F.concat(F.col("_base"), random)))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy) for each row.
+
+    A null or empty text has no span: the counts are 0, spans is empty and base_sha256 that of
+    the empty string.  Repeated rows give one row each; an empty table gives none; columns
+    other than doc_id and text are not read.
+    """
+    rows = with_spans(docs.select(docs["doc_id"], docs["text"]))
+    count = lambda k: F.size(F.filter("_all", lambda s: s["kind"] == k)).cast("long")
+    return rows.select(
+        "doc_id",
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k != "entropy"],
+        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
+        _joined(F.col("_all")).alias("spans"),
+        count(3).alias("n_entropy"),
+    )
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """docs with every found span replaced by mask; overlapping spans are replaced once.
+
+    All rows and columns stay; n_chars, where there is such a column, is counted anew for
+    changed texts.  A null text stays null.
+    """
+    rows = with_spans(docs)
+    text = F.col("text").cast("string")
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        gap = F.substring(text, state["pos"] + 1, span["start"] - state["pos"])
+        return F.struct(
+            F.greatest(state["pos"], span["end"]).alias("pos"),
+            F.when(span["start"] < state["pos"], state["parts"])
+            .otherwise(F.concat(state["parts"], F.array(gap, F.lit(mask))))
+            .alias("parts"),
+        )
+
+    def finish(state: Column) -> Column:
+        return F.concat(
+            F.array_join(state["parts"], ""),
+            F.substring(text, state["pos"] + 1, F.length(text)),
+        )
+
+    masked = F.when(F.size("_all") > 0, F.aggregate("_all", zero, step, finish)).otherwise(text)
+    out = rows.withColumn("_text", masked)
+    changed = F.size("_all") > 0
+    columns = []
+    for name in docs.columns:
+        if name == "text":
+            columns.append(F.col("_text").alias("text"))
+        elif name == "n_chars":
+            kind = docs.schema["n_chars"].dataType
+            columns.append(F.when(changed, F.length("_text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
+        else:
+            columns.append(F.col(name))
+    return out.select(*columns)
