@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import near_dedup, packing, secrets, simhash, tokens
+from caseloom.llm import (
+    embedding_dedup,
+    html_text,
+    mixing,
+    near_dedup,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+)
 from caseloom.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,14 +29,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).drop("mix_source")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_table(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,7 +71,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_token_counts, op6_fingerprints, op8_packing, op9_near_dedup, op10_secrets)
+    found = (
+        op1_toxicity,
+        op2_token_counts,
+        op3_html_text,
+        op4_mixing,
+        op5_sharding,
+        op6_fingerprints,
+        op7_embedding_dedup,
+        op8_packing,
+        op9_near_dedup,
+        op10_secrets,
+    )
     return {f.__name__: f for f in found}
 
 

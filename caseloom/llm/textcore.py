@@ -19,6 +19,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: For classification: letters and digits only, every byte of a multi-byte character included.
+_IS_ALNUM = np.zeros(256, dtype=bool)
+_IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -55,21 +58,21 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(52)))
 
 
-def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(text: bytes, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes with the starts and ends of their words."""
     raw = np.frombuffer(text, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = _IS_WORD[raw]
+    inside[1:-1] = (_IS_ALNUM if alnum else _IS_WORD)[raw]
     edge = np.diff(inside)
     return _LOWER[raw], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(text: bytes, prefix: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+def word_hashes(text: bytes, prefix: int = 0, alnum: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Hashes of the words of one text; with prefix, also of each word's first bytes."""
     whole: list[np.ndarray] = []
     heads: list[np.ndarray] = []
     for part in _segments(text):
-        data, starts, ends = word_spans(part)
+        data, starts, ends = word_spans(part, alnum)
         whole.append(_hash_spans(data, starts, ends))
         if prefix:
             heads.append(_hash_spans(data, starts, np.minimum(ends, starts + prefix)))
@@ -89,7 +92,7 @@ def _segments(text: bytes) -> Iterator[bytes]:
 
 
 def batch_word_hashes(
-    texts: list[bytes], prefix: int = 0
+    texts: list[bytes], prefix: int = 0, alnum: bool = False
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]:
     """Yield (first, last, words, offsets, heads) for runs of texts of about SEGMENT_BYTES.
 
@@ -103,10 +106,10 @@ def batch_word_hashes(
             size += len(texts[stop]) + 1
             stop += 1
         if stop == at + 1:
-            whole, heads = word_hashes(texts[at], prefix)
+            whole, heads = word_hashes(texts[at], prefix, alnum)
             yield at, stop, whole, np.array([0, len(whole)]), heads
         else:
-            data, starts, ends = word_spans(b"\n".join(texts[at:stop]))
+            data, starts, ends = word_spans(b"\n".join(texts[at:stop]), alnum)
             whole = _hash_spans(data, starts, ends)
             heads = _hash_spans(data, starts, np.minimum(ends, starts + prefix)) if prefix else None
             limits = np.cumsum([0] + [len(t) + 1 for t in texts[at:stop]])
