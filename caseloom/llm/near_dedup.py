@@ -270,14 +270,17 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
 
 
 def _open_groups(ranked: DataFrame, links: DataFrame) -> DataFrame | None:
-    """(rep, grp) of members of large buckets that span more than one component so far.
+    """(rep, component, grp) of members of large buckets that the links leave in several parts.
 
+    component is the smallest document linked directly, enough to tell most linked members.
     Buckets that share members form one group, so no pair is compared once for each bucket.
     """
-    known = components(links)
-    labelled = ranked.select("bucket", "rep").join(
-        known.withColumnRenamed("node", "rep"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    leads = both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("lead"))
+    leads = leads.withColumn("lead", F.least("rep", "lead"))
+    labelled = ranked.select("bucket", "rep").join(leads, "rep", "left").withColumn(
+        "component", F.coalesce("lead", "rep")
+    )
     spread = (
         labelled.groupBy("bucket")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"))
