@@ -22,7 +22,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "entropy")
 
-OPEN, CLOSE, PLAIN = "", "", "·"
+OPEN, CLOSE, PLAIN = "\ue000", "\ue001", "\u00b7"
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Character classes from narrow to wide, with the least entropy in bits of a window.
