@@ -159,8 +159,9 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, shared: int = SHARE
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     index = describe(classes, choose_pivots(classes))
-    entries = index.withColumn("pivot", F.explode("pivots"))
-    lists = index.select("label", F.explode("pivots").alias("pivot")).groupBy("label", "pivot").agg(
+    # vectors of another length than the pivots have pivot 0 only, and are compared in its list
+    entries = index.withColumn("pivot", F.explode(F.array_distinct("pivots")))
+    lists = entries.select("label", "pivot").groupBy("label", "pivot").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
     )
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
