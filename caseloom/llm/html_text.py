@@ -218,19 +218,21 @@ def first_pass(block: Block, has_main: bool) -> int:
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
     """Open blocks take the label of the nearest decided neighbour of their region; at equal
-    distance, and for headings, the one that follows; without any, that of the region."""
+    distance, and for headings, the one that follows; without any, that of the region.  Blocks
+    of menus, adverts and the like are no neighbours."""
     out = list(labels)
     n = len(found)
     before, after = [None] * n, [None] * n
+    tells = [label != OPEN and not b.noise for label, b in zip(labels, found, strict=True)]
     last: dict[int, int] = {}
     for i in range(n):
         before[i] = last.get(found[i].region)
-        if labels[i] != OPEN:
+        if tells[i]:
             last[found[i].region] = i
     last = {}
     for i in range(n - 1, -1, -1):
         after[i] = last.get(found[i].region)
-        if labels[i] != OPEN:
+        if tells[i]:
             last[found[i].region] = i
     for i in range(n):
         if labels[i] != OPEN:
