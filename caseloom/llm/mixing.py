@@ -31,6 +31,10 @@ BUCKET_DOCS = 2_000
 PARTS = 1_000_000
 #: Default target: shares in proportion to the number of documents to this power.
 POWER = 0.5
+#: Columns that mix() makes.
+ADDED = frozenset(
+    "mix_source mix_block mix_slot mix_phase mix_position mix_bucket mix_buckets mix_n mix_rank mix_before mix_in mix_start".split()
+)
 
 
 def integer_weights(weights: dict) -> dict:
@@ -95,8 +99,7 @@ def mix(
     an empty table gives no row.  Columns of these names in docs are replaced.
     """
     spark = docs.sparkSession
-    added = {"mix_source", "mix_block", "mix_slot", "mix_phase", "mix_position", "mix_bucket", "mix_n"}
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*kept).withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     sources = rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sources) > MOST_SOURCES:
@@ -154,6 +157,7 @@ def mix(
 def mixed_documents(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs, all rows and columns, in the mixed order: partitions by ranges of the position,
     each sorted by it, so that files written from it follow the schedule."""
-    out = mix(docs, weights, block_docs)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    out = mix(docs.withColumnsRenamed(own), weights, block_docs)
     ordered = out.repartitionByRange(partitions(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position")
-    return ordered.select(*docs.columns)
+    return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
