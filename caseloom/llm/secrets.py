@@ -142,8 +142,11 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
+BASE, ALL = "secret_scan_base", "secret_scan_all"
+
+
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns _base and _all: sorted arrays of spans (start, kind, end).
+    """docs with the columns BASE and ALL: sorted arrays of spans (start, kind, end).
 
     Positions are code points, end exclusive; the order is by start, then kind as in KINDS.
     """
@@ -157,8 +160,8 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     access = _spans(text, ACCESS.replace("+", "{12,}"), 1, lambda m: F.lit(True))
     hexes = _spans(text, HEX.replace("+", "{32,}"), 2, lambda m: F.lit(True))
     random = _spans(text, CANDIDATE, 3, _is_random)
-    out = docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexes)))
-    return out.withColumn("_all", F.array_sort(F.concat(F.col("_base"), random)))
+    out = docs.withColumn(BASE, F.array_sort(F.concat(assign, access, hexes)))
+    return out.withColumn(ALL, F.array_sort(F.concat(F.col(BASE), random)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -169,12 +172,12 @@ def scan(docs: DataFrame) -> DataFrame:
     other than doc_id and text are not read.
     """
     rows = with_spans(docs.select(docs["doc_id"], docs["text"]))
-    count = lambda k: F.size(F.filter("_all", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter(ALL, lambda s: s["kind"] == k)).cast("long")
     return rows.select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS) if k != "entropy"],
-        F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
-        _joined(F.col("_all")).alias("spans"),
+        F.sha2(_joined(F.col(BASE)), 256).alias("base_sha256"),
+        _joined(F.col(ALL)).alias("spans"),
         count(3).alias("n_entropy"),
     )
 
@@ -204,16 +207,16 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             F.substring(text, state["pos"] + 1, F.length(text)),
         )
 
-    masked = F.when(F.size("_all") > 0, F.aggregate("_all", zero, step, finish)).otherwise(text)
-    out = rows.withColumn("_text", masked)
-    changed = F.size("_all") > 0
+    masked = F.when(F.size(ALL) > 0, F.aggregate(ALL, zero, step, finish)).otherwise(text)
+    out = rows.withColumn("secret_scan_text", masked)
+    changed = F.size(ALL) > 0
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.col("_text").alias("text"))
+            columns.append(F.col("secret_scan_text").alias("text"))
         elif name == "n_chars":
             kind = docs.schema["n_chars"].dataType
-            columns.append(F.when(changed, F.length("_text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
+            columns.append(F.when(changed, F.length("secret_scan_text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
         else:
             columns.append(F.col(name))
     return out.select(*columns)
