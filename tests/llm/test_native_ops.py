@@ -1,0 +1,189 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseloom.llm import secrets, sharding, simhash
+
+# --- fingerprints -----------------------------------------------------------------------
+
+
+def texts(rng, n):
+    words = [f"{a}{b}" for a in ("ko", "Tam", "é", "zur", "x") for b in ("la", "mi", "", "trom")]
+    return [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 7])
+def test_next_document_across_ranges(spark, ranges):
+    rows = [(3 * i, f"t{i}") for i in range(40)] + [(None, "no id"), (6, "same id"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["body"], r["next_body"]) for r in simhash.with_next(df, ranges).where("real").collect()]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = [(i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_fingerprints(spark):
+    rng = random.Random(3)
+    rows = list(enumerate(texts(rng, 60))) + [(60, None), (61, "one"), (62, "word " * 5000), (63, "twin text here"), (64, "twin text here")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")
+    got = {r["doc_id"]: r for r in simhash.fingerprint_table(df).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    bits = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / simhash.BITS
+    prints = [r["fingerprint"] for r in got.values()]
+    for n, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(n + 1) % len(order)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + (nxt[1] or "")[:half]
+        r = got[i]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(bits(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(bits(r["fingerprint"], got[nxt[0]]["fingerprint"]))
+        near = sum(bin(int(r["fingerprint"], 16) ^ int(p, 16)).count("1") <= 3 for p in prints) - 1
+        assert r["n_near"] == near
+    assert got[63]["fingerprint"] == got[64]["fingerprint"]
+
+
+def test_votes_equal_a_plain_count(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma alpha beta delta")], "doc_id long, text string")
+    terms = df.select(F.explode(simhash.term_hashes(F.col("text"))).alias("t"))
+    rows = terms.select("t", *[F.xxhash64("t", F.lit(h)).alias(f"h{h}") for h in range(2)]).collect()
+    halves = []
+    for h in range(2):
+        total = sum((r["t"] & 7) + 1 for r in rows)
+        ones = [sum((r["t"] & 7) + 1 for r in rows if r[f"h{h}"] >> b & 1) for b in range(64)]
+        halves.append(sum(1 << b for b in range(64) if 2 * ones[b] > total))
+    got = simhash.fingerprints(df).first()["fingerprint"]
+    assert got == "".join(f"{x:016x}" for x in halves)
+
+
+def test_within_radius_equals_brute_force(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    prints = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 5))) for b in base for _ in range(6)] + base[:3]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    df = spark.createDataFrame([(signed(p >> 64), signed(p & (2**64 - 1))) for p in prints], "f0 long, f1 long")
+    got = {(r["f0"], r["f1"]): r["n_near"] for r in simhash.within_radius(df, 3).collect()}
+    for p in prints:
+        assert got[signed(p >> 64), signed(p & (2**64 - 1))] == sum(bin(p ^ q).count("1") <= 3 for q in prints)
+
+
+def test_fingerprints_of_few_rows(spark):
+    one = spark.createDataFrame([(1, "alone in the table")], "doc_id long, text string")
+    r = simhash.fingerprints(one).first()
+    assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"alone in alone in ").hexdigest()
+    assert simhash.fingerprint_table(one.limit(0)).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def random_spans(text):
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        s = m[0]
+        limit = next(bits for _, p, bits in secrets.CLASSES if re.search(p, s))
+        if any(re.search(p, s) for p in secrets.ALLOWED) or limit > math.log2(secrets.WINDOW):
+            continue
+        top = 0.0
+        for i in range(len(s) - secrets.WINDOW + 1):
+            n = Counter(s[i : i + secrets.WINDOW]).values()
+            top = max(top, math.log2(secrets.WINDOW) - sum(x * math.log2(x) for x in n) / secrets.WINDOW)
+        if abs(top - limit) > 1e-9 and top >= limit:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def joined(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+HEXES = "0123456789abcdef" * 3
+CASES = [
+    "", None, "nothing here", f'Password: "{HEXES[:20]}" and é {HEXES}', "token: secret: abcdefghij", "secret=token=abcdefgh1", "api_key = short",
+    "AKIA" + "B2" * 8 + " AKIAB", "APIKEY='x.y-z/12+34='", "token=abcdefgh ", "TOKEN:abcdefgh,passwd=ABCDEFGH" * 3,
+    "key k9Xw2LmQ7vTz4RbN8cYd1FhJ6 end", "https://a/b/c/d/e/f/g/h/i/j/k", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+    "12345678901234567890123456", "the-quick-brown-fox-jumps-over-2024", "a\n" * 2000 + f"token={HEXES}",
+]
+
+
+def test_scan_equals_brute_force(spark):
+    rng = random.Random(2)
+    alphabet = "abcdef0123456789ABZk9_+/=-:\"' \n" + "é"
+    made = ["".join(rng.choices(alphabet, k=rng.randint(1, 200))) for _ in range(150)]
+    made += [f"{rng.choice(['token', 'Secret', 'api_key'])}{rng.choice(['=', ': ', ' = '])}{x[:30]}" for x in made[:60]]
+    rows = list(enumerate(CASES + made)) + [(0, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_hex int")
+    got = sorted(secrets.scan(df).collect(), key=lambda r: r["doc_id"])
+    rows.sort(key=lambda r: r[0])
+    assert len(got) == len(rows)
+    for (i, t), r in zip(rows, got, strict=True):
+        base = base_spans(t or "")
+        assert r["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest(), t
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        assert r["spans"] == joined(sorted(base + random_spans(t or ""))), t
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    text = f"é token={HEXES} and AKIA{'B2' * 8}."
+    df = spark.createDataFrame([(1, text, len(text), "a"), (2, None, 0, "b"), (3, "clean", 5, "c")], "doc_id long, text string, n_chars long, _base string")
+    got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
+    assert got[1]["text"] == "é [SECRET] and [SECRET]." and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] is None and got[3]["text"] == "clean"
+    assert got[1]["_base"] == "a" and secrets.redact(df).columns == df.columns
+
+
+# --- shards -----------------------------------------------------------------------------
+
+SMALL = sharding.Policy(base=2_000, fan_in=3, target=20_000)
+
+
+def test_sharded_table_round_trip(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"text {i} " * (i % 50), "src", i) for i in range(400)] + [(5, "again", "src", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _shard string, version long").withColumnRenamed("_shard", "source")
+    store = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL)
+    for part in range(4):
+        store.append(df.where(F.col("doc_id") % 4 == part).repartition(5))
+    before = store.shards()
+    old = store.version()
+    assert store.compact_fully() >= 1
+    after = store.shards()
+    assert len(after) < len(before) == 20
+    assert store.read().drop("_shard").exceptAll(df).count() == 0 and store.read().count() == len(rows)
+    assert store.read(old).count() == len(rows)  # the old version is whole until it is vacuumed
+    assert store.vacuum() > 0 and store.read().count() == len(rows)
+    with pytest.raises(RuntimeError):
+        store.commit([], old - 1)
+    assert store.shards() == after
+
+
+def test_shard_documents(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string").repartition(6)
+    got = sharding.shard_documents(df, policy=SMALL, arrivals=3).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(50))
+    assert sharding.shard_documents(df.limit(0)).count() == 0
+
+
+def test_merges_stay_within_the_target():
+    shards = [sharding.Shard(f"p{i}", 900 + i, SMALL.tier(900 + i), 0) for i in range(60)]
+    groups = SMALL.merges(shards)
+    assert all(sum(s.size for s in g) <= SMALL.target for g in groups)
+    assert len({s.path for g in groups for s in g}) == sum(map(len, groups)) >= 55
