@@ -40,6 +40,11 @@ def _has_vowel(stem: str) -> bool:
     return any(c in _VOWELS for c in stem)
 
 
+def _short_end(stem: str) -> bool:
+    """Whether stem ends in consonant, vowel, consonant, the last none of w, x, y."""
+    return len(stem) > 2 and stem[-3] not in "aeiou" and stem[-2] in _VOWELS and stem[-1] not in "aeiouwxy"
+
+
 #: Suffixes and what replaces them when the stem before has measure 1 or more.
 _LONG = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent",
@@ -68,8 +73,10 @@ def stem(word: str) -> str:
                 word = word[: -len(end)]
                 if word.endswith(("at", "bl", "iz")):
                     word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz":
+                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "aeioulsz":
                     word = word[:-1]
+                elif _measure(word) == 1 and _short_end(word):
+                    word += "e"
                 break
     if word.endswith("y") and _has_vowel(word[:-1]):
         word = word[:-1] + "i"
@@ -85,7 +92,11 @@ def stem(word: str) -> str:
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
                 word = base
             break
-    if word.endswith("e") and _measure(word[:-1]) > 1:
+    if word.endswith("e"):
+        measure = _measure(word[:-1])
+        if measure > 1 or (measure == 1 and not _short_end(word[:-1])):
+            word = word[:-1]
+    if word.endswith("ll") and _measure(word[:-1]) > 1:
         word = word[:-1]
     return word
 

@@ -168,7 +168,7 @@ def load_xml(name: str, data: bytes) -> list[Doc]:
 @register_loader(".rtf")
 def load_rtf(name: str, data: bytes) -> list[Doc]:
     text = data.decode("latin-1")
-    text = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", "", text)
+    text = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", " ", text)
     text = re.sub(r"\\u(-?\d+)\??", lambda m: chr(int(m[1]) % 65536), text)
     text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]).decode("cp1252", "replace"), text)
     text = re.sub(r"\\(?:par|line)\b ?", "\n", text)
