@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import patterns as P
 from caseloom.functions import text as T
 from caseloom.functions.vectors import hash_embedding
-from caseloom.operators import chunking, evaluation, governance, grounding, metrics, retrieval
+from caseloom.operators import chunking, enrichment, evaluation, governance, grounding, metrics, retrieval
 from caseloom.plans import agent, keyword, readonly_sql
 from caseloom.streaming import events as streams
 
@@ -797,6 +797,30 @@ def request_windows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.col("w.start").alias("hour"), "n", (F.col("n") > 30).alias("limited"))
 
 
+@query(
+    r"""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}')) AS token FROM documents WHERE length(text) >= 20),
+    tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+    r AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln((SELECT count(*) FROM documents WHERE length(text) >= 20)::DOUBLE / df), 9) DESC, token) AS r FROM tf JOIN df USING (token))
+    SELECT id, string_agg(token, ',' ORDER BY r) AS keywords FROM r WHERE r <= 5 GROUP BY id"""
+)
+def keyword_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return enrichment.keywords(rows).select("id", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 250 AS p_partkey, EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l_partkey % 250) AS is_valid FROM lineitem")
+def claim_verification(spark: SparkSession, d: str) -> DataFrame:
+    claims = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 250).alias("p_partkey"))
+    return enrichment.verify_claims(claims, table(spark, d, "part"), ["p_partkey"]).select("l_orderkey", "l_linenumber", "p_partkey", "is_valid")
+
+
+@query("SELECT event_type, min(event_id) AS first_kept, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 500) GROUP BY event_type")
+def ring_buffer(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("seq"))
+    kept = metrics.last_observations(rows, 500)
+    return kept.groupBy(F.col("name").alias("event_type")).agg(F.min("seq").alias("first_kept"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def agent_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return agent.answer(chunks(spark, d), questions(spark, d))

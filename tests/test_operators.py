@@ -268,3 +268,88 @@ def test_agent(spark):
     got = {r["query_id"]: r for r in agent.answer(chunks, queries, top_k=3).collect()}
     assert got[1]["grade"] == "yes" and got[1]["loops"] == 0 and got[1]["grounding"] == "grounded"
     assert got[2]["grade"] == "no" and got[2]["loops"] == 3 and len(got) == 2
+
+
+def test_enrichment(spark):
+    from caseloom.operators import enrichment
+
+    df = spark.createDataFrame([(1, "alpha alpha beta gamma words here", None), (2, "beta gamma words here and more", None), (3, "tiny", None)], "id long, content string, metadata_extra map<string,string>")
+    got = {r["id"]: r for r in enrichment.enrich(df, 2).collect()}
+    assert got[1]["metadata_extra"]["keywords"].startswith("alpha") and "Keywords: alpha" in got[1]["content"]
+    assert got[3]["content"] == "tiny"
+    calls = []
+
+    def model():
+        return lambda texts: [[len(t), 1.0] for t in texts]
+
+    vectors = {r["id"]: r["embedding"] for r in enrichment.embed(df, model=model).collect()}
+    assert vectors[3] == [4.0, 1.0] and not calls
+    assert len(enrichment.embed(df, 8).first()["embedding"]) == 8
+    safe = enrichment.protect(spark.createDataFrame([("mail a@b.org",), (None,)], "content string"))
+    assert enrichment.protection_report(safe).collect()[0]["total"] == 1
+    with pytest.raises(ValueError):
+        enrichment.protect(df, "hide")
+    r = spark.range(1).select(enrichment.relevance_proxy(F.lit("one two"), F.lit("two")).alias("a"), enrichment.faithfulness_proxy(F.lit("one two"), F.array(F.lit("two one"))).alias("b")).first()
+    assert (r["a"], r["b"]) == (0.5, 1.0)
+
+
+def test_ingest(spark, tmp_path):
+    from caseloom.plans.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Call 555-123-4567 about the pump.")
+    (tmp_path / "in" / "b.json").write_text("{")
+    cache = Cache()
+    cache.set("retrieval:c1:x", 1)
+    where = f"file://{tmp_path}/in", f"file://{tmp_path}/table", "c1"
+    for _ in range(2):
+        report = ingest(spark, *where, cache=cache, pii="redact", dim=8, doc_type="note").first()
+        assert (report["files_loaded"], report["files_failed"], report["status"]) == (1, 1, "PARTIAL")
+    rows = spark.read.parquet(f"file://{tmp_path}/table").collect()
+    assert len(rows) == 1 and "[PHONE_REDACTED]" in rows[0]["content"] and rows[0]["doc_type"] == "note" and cache.stats()["entries"] == 0
+
+
+def test_jobs_and_retries():
+    from caseloom.plans import jobs
+
+    done = []
+    q = jobs.JobQueue(1)
+    q.submit("b", lambda: done.append("b"))
+    q.submit("a", lambda: done.append("a"), jobs.HIGH)
+    gone = q.submit("c", lambda: done.append("c"))
+    bad = q.submit("d", lambda: 1 / 0, jobs.LOW)
+    assert q.cancel(gone) and not q.cancel(gone)
+    q.start()
+    q.stop()
+    assert done == ["a", "b"] and q.get(bad).status == "failed" and len(q.list("completed")) == 2
+    waits, tries = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return "ok"
+
+    assert jobs.retry(flaky, sleep=waits.append) == "ok" and waits == [2.0, 4.0]
+    assert jobs.retry(lambda: 1 / 0, fallback=lambda: "f", sleep=waits.append) == "f"
+    breaker = jobs.Breaker(clock=lambda: 0.0)
+    for _ in range(5):
+        with pytest.raises(ZeroDivisionError):
+            breaker.call(lambda: 1 / 0)
+    with pytest.raises(ConnectionError):
+        breaker.call(lambda: 1)
+    assert jobs.save_command("save docs 1,3-5,9 as my set", 4) == ([1, 3, 4], "my set") and jobs.save_command("no", 3) is None
+
+
+def test_registry(spark):
+    from caseloom.functions import registry
+
+    spark.createDataFrame([("What is the date?",)], "content string").createOrReplaceTempView("reg_view")
+    assert "query_intent" in registry.with_functions(spark, "reg_view")
+    assert readonly_sql.run(spark, {}, "select query_intent from reg_view").first()[0] == "fact_lookup"
+
+    @registry.register_scorer("my-scorer")
+    def mine(hits):
+        return F.lit(1.0)
+
+    assert registry.SCORERS["my_scorer"] is mine
