@@ -39,6 +39,8 @@ M, ROWS = 252, 6
 BASE, TOP = 1.02, 4000
 SMALL_BUCKET = 32
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+#: Ids of documents to compare are broadcast up to this many (16 MB), joined beyond.
+BROADCAST_IDS = 1_000_000
 
 
 # --- sketches ---------------------------------------------------------------------------
@@ -250,10 +252,16 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
         .where(F.col("estimate") >= lowest)
         .select("a", "b", "n_a", "n_b")
     )
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).union(
-        ranked.select("rep").distinct().select(F.col("rep").alias("doc_id"))
-    ).distinct()
-    needed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    wanted = durable(
+        candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        .union(ranked.select(F.col("rep").alias("doc_id")))
+        .distinct()
+    )
+    # ids alone are sent to all tasks while they are few, counted first; else the texts are dealt
+    few = wanted.count() <= BROADCAST_IDS
+    needed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(
+        F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"
+    )
     sets = durable(shingle_sets(needed))
     a, b = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
