@@ -86,5 +86,35 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+_REACH = """e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(a, b) AS (SELECT DISTINCT {id}, {id} FROM {table} UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+  c AS (SELECT a AS {id}, min(b) AS component_id FROM r GROUP BY a)"""
+
+NEAR_DEDUP_SQL = (
+    """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+  s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS sh FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+  """
+    + _REACH.format(id="doc_id", table="documents")
+    + """
+  SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+  FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+)
+
+EMBEDDING_DEDUP_SQL = (
+    """WITH RECURSIVE l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id
+    WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.93),
+  """
+    + _REACH.format(id="vec_id", table="embeddings")
+    + """
+  SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+  FROM embeddings JOIN c USING (vec_id)"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_near_dedup": NEAR_DEDUP_SQL}
