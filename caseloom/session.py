@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def share_code(spark: SparkSession | None = None) -> None:
+    """Let Python workers on this machine import the package, wherever the driver was started.
+
+    On a cluster the package is installed or shipped with --py-files; a path that does not exist
+    there does no harm.
+    """
+    context = spark.sparkContext if spark else SparkContext._active_spark_context
+    for env in (os.environ, context.environment if context else {}):
+        parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if ROOT not in parts:
+            env["PYTHONPATH"] = os.pathsep.join([*parts, ROOT])
+
 
 def session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC."""
