@@ -147,7 +147,7 @@ def citations(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(P.CITATION), F.lit(1)),
         F.regexp_extract_all(text, F.lit(P.CITATION), F.lit(2)),
         lambda source, page: F.struct(
-            F.trim(source).alias("source"), F.when(page != "", page.cast("int")).alias("page")
+            F.trim(source).alias("source"), page.try_cast("int").alias("page")
         ),
     )
 
@@ -221,7 +221,7 @@ def sanitise_metric(name: Column) -> Column:
 
 def page_ranges(text: Column) -> Column:
     """'1,3-5' -> [1, 3, 4, 5]: sorted and distinct; parts that are no number or range go."""
-    parts = F.filter(F.split(text, ","), lambda p: p.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$"))
+    parts = F.filter(F.split(text, ","), lambda p: p.rlike(r"^\s*\d{1,6}\s*(-\s*\d{1,6}\s*)?$"))
     ranges = F.transform(
         parts,
         lambda p: F.sequence(
