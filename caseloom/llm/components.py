@@ -72,7 +72,7 @@ def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK_
     """
     links = links.where("a is not null and b is not null and a != b")
     links = durable(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 8
     )
     before = _digest(links)
     if before[0] <= one_task:

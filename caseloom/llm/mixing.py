@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseloom.llm.runtime import durable, partitions
+from caseloom.llm.runtime import partitions
 
 BLOCK_DOCS = 32
 MOST_BLOCKS = 65_536
@@ -115,7 +115,7 @@ def mix(
         .withColumn("mix_bucket", F.pmod("mix_n", "mix_buckets"))
         .drop("mix_buckets")
     )
-    counts = durable(rows.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n")))
+    counts = rows.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n"))
     if weights:
         least = min(weights.values())
         target = {s: weights.get(s, least) for s in size}

@@ -211,7 +211,7 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
     spark = docs.sparkSession
     keys = sketches.select("rep", F.explode("bands").alias("bucket"))
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = durable(keys.join(sizes, "bucket"))
+    members = durable(keys.join(sizes, "bucket"), 2)
     small = members.where(F.col("size") <= SMALL_BUCKET).select("bucket", "rep")
     pairs = (
         small.alias("x")
@@ -221,7 +221,7 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
     )
     large = members.where(F.col("size") > SMALL_BUCKET)
     central = large.groupBy("rep").agg(F.sum("size").alias("weight"))
-    ranked = durable(large.join(central, "rep").select("bucket", "rep", "weight"))
+    ranked = durable(large.join(central, "rep").select("bucket", "rep", "weight"), 8)
     hubs = ranked.groupBy("bucket").agg(
         F.max("weight").alias("weight"), F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")
     )
@@ -250,12 +250,14 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .withColumn("estimate", estimate_column(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b")))
         .where(F.col("estimate") >= lowest)
-        .select("a", "b", "n_a", "n_b")
+        .select("a", "b", "n_a", "n_b"),
+        2,
     )
     wanted = durable(
         candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))
         .union(ranked.select(F.col("rep").alias("doc_id")))
-        .distinct()
+        .distinct(),
+        8,
     )
     # ids alone are sent to all tasks while they are few, counted first; else the texts are dealt
     few = wanted.count() <= BROADCAST_IDS
@@ -269,7 +271,8 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
         candidates.join(a, "a").join(b, "b").withColumn("both", shared)
         .where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
         .select("a", "b")
-        .distinct()
+        .distinct(),
+        2,
     )
     if ranked.isEmpty():
         return links
@@ -294,7 +297,7 @@ def _open_groups(ranked: DataFrame, links: DataFrame) -> DataFrame | None:
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"))
         .where("lo != hi")
     )
-    tied = durable(labelled.join(spread.select("bucket", "first"), "bucket").select("rep", "first", "component"))
+    tied = durable(labelled.join(spread.select("bucket", "first"), "bucket").select("rep", "first", "component"), 8)
     if tied.isEmpty():
         return None
     groups = components(tied.select(F.col("rep").alias("a"), F.col("first").alias("b")))
@@ -416,7 +419,7 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     sketches = durable(sketch_documents(docs))
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = durable(
-        filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), 4
     )
     distinct = filled.join(
         classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi"
@@ -424,7 +427,7 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     links = similar_links(durable(distinct), docs, limit)
     found = components(links).select(F.col("node").alias("rep"), "component")
     labelled = durable(
-        classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), 4
     )
     out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(
         labelled.select("set_a", "set_b", F.col("n_shingles").alias("n_set"), "component"),

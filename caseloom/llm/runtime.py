@@ -23,9 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost no rerun."""
+def durable(df: DataFrame, shrink: int = 1) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors cost no rerun.
+
+    shrink: write about one file for as many partitions; for tables that much smaller than
+    what they are made from.  Each file costs the executors a few calls to the file system.
+    """
     spark = df.sparkSession
+    if shrink > 1:
+        df = df.coalesce(max(8, partitions(spark) // shrink))
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
