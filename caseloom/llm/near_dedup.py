@@ -133,7 +133,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bands"]
-        for batch in batches:
+        for batch in textcore.slices(batches):
             texts = _texts(batch)
             for first, last, words, offsets, _ in textcore.batch_word_hashes(texts):
                 hashes, at = textcore.shingles(words, offsets, WIDTH)
@@ -168,7 +168,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles): the sorted distinct shingle hashes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textcore.slices(batches):
             for first, last, words, offsets, _ in textcore.batch_word_hashes(_texts(batch)):
                 hashes, at = textcore.shingles(words, offsets, WIDTH)
                 sets = pa.ListArray.from_arrays(

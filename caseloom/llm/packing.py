@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.llm.textcore import slices
 from caseloom.llm.tokens import encode_pieces, encoder
 
 GROUP_PIECES = 16_384
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             owner, start, length, crc, total = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
                 parts = list(encode_pieces(enc, text.as_py() or ""))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SEGMENT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,6 +26,20 @@ _IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Rows of an Arrow batch that are held as Python texts at a time.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches; memory freed by large ones goes back to the system, as
+    a worker may stay idle for long."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & _MASK)

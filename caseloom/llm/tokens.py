@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from caseloom.llm.textcore import slices
+
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 
@@ -195,7 +197,7 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, tokens = [], []
             for text in batch.column(1):
                 text = text.as_py() or ""

@@ -362,7 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         tables, word_slots, head_slots = m.tables(), HashSlots(m.words), HashSlots(m.heads)
         limits = np.array(list(m.thresholds.values()))
-        for batch in batches:
+        for batch in textcore.slices(batches):
             texts = _encode([t.as_py() or "" for t in batch.column(place).cast(pa.string())])
             out = np.zeros(len(texts))
             for first, last, words, offsets, heads in textcore.batch_word_hashes(texts, PREFIX, alnum=True):
