@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
+from caseloom.operators.retrieval import few
 
+MOST_VALUES = 100_000
 GROUNDED, PARTIAL = 0.9, 0.5
 WEIGHTS = {"citation": 0.35, "claims": 0.35, "facts": 0.30}
 SEVERITY = {"critical": 1.0, "major": 0.6, "minor": 0.3}
@@ -42,16 +44,18 @@ def supported_facts(claims: DataFrame, docs: DataFrame, least: int = 2) -> DataF
     """(claim_id, value, supporting_docs, is_sufficiently_supported) for each critical value.
 
     claims(claim_id, claim) x docs(doc_id, content): a document supports a value that its
-    normalised text contains.  Documents are scanned once against the broadcast list of distinct
-    values, and only counts are shuffled.
+    normalised text contains.  Documents are scanned once against the list of distinct values,
+    which is broadcast; only counts are shuffled.  More than MOST_VALUES values at a time raise.
     """
     values = claims.select(
         "claim_id", F.explode(F.array_distinct(T.critical_values(F.col("claim")))).alias("value")
     ).withColumn("norm", T.normalise_value(F.col("value")))
     distinct = values.select("norm").distinct().where("norm != ''")
+    if not few(distinct, MOST_VALUES):
+        raise ValueError(f"more than {MOST_VALUES} values at a time: split the claims")
     body = docs.select(T.normalise_content(F.coalesce(F.col("content"), F.lit(""))).alias("body"))
     counts = (
-        body.join(distinct, F.col("body").contains(F.col("norm")))
+        body.join(F.broadcast(distinct), F.col("body").contains(F.col("norm")))
         .groupBy("norm")
         .agg(F.count(F.lit(1)).alias("n"))
     )

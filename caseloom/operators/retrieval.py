@@ -16,8 +16,14 @@ from pyspark.sql.window import Window
 from caseloom.functions import text as T
 from caseloom.functions.vectors import cosine
 
-#: Queries are broadcast to the scan of the chunks up to this many; larger sets go in slices.
-MOST_QUERIES = 10_000
+#: Queries, and tokens of queries, that are broadcast to the scan of the chunks; their number is
+#: counted first.
+MOST_QUERIES, MOST_TOKENS = 10_000, 1_000_000
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most `most` rows, without counting many more."""
+    return df.limit(most + 1).count() <= most
 
 
 @dataclass(frozen=True)
@@ -69,11 +75,15 @@ def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def semantic_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, id, similarity, rank): the n chunks nearest to each query's vector."""
-    q = F.broadcast(queries.select("query_id", "query_embedding").limit(MOST_QUERIES))
+    """(query_id, id, similarity, rank): the n chunks nearest to each query's vector.
+
+    Queries against all chunks is the operator's task: more than MOST_QUERIES at a time raise.
+    """
+    if not few(queries, MOST_QUERIES):
+        raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
     scored = (
         chunks.select("id", "embedding")
-        .join(q)
+        .join(F.broadcast(queries.select("query_id", "query_embedding")))
         .select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 9).alias("similarity"))
     )
     return _top(scored, n, F.desc_nulls_last("similarity"), F.asc("id"))
@@ -84,7 +94,7 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     most different ones first.  An equi-join on tokens: chunks without one are never paired."""
     q = queries.select("query_id", F.explode(T.unicode_tokens(F.col("query"))).alias("token"))
     c = chunks.select("id", F.explode(T.unicode_tokens(F.col("content"))).alias("token"))
-    hits = c.join(F.broadcast(q.limit(MOST_QUERIES * 64)), "token").groupBy("query_id", "id").agg(
+    hits = c.join(F.broadcast(q) if few(q, MOST_TOKENS) else q, "token").groupBy("query_id", "id").agg(
         F.count(F.lit(1)).alias("hits")
     )
     return _top(hits, n, F.desc("hits"), F.asc("id"))

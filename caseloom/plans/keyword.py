@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caseloom.operators.retrieval import MOST_QUERIES, few
+
 #: English words without a rank.
 STOP = frozenset(
     "a about above after again all am an and any are as at be because been before being below between both but by can did do does"
@@ -151,10 +153,13 @@ def cover_density(index: dict[str, list[int]], stems: set[str]) -> float:
 def ranked_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, score, rank): the n best chunks for each query.
 
-    The parsed queries travel with the task (bounded by the caller); each chunk is stemmed once
+    The parsed queries travel with the task; each chunk is stemmed once
     for all of them, and only matches leave the task.
     """
-    parsed = [(r["query_id"], parse(" or ".join((r["query"] or "").split()[:12]))) for r in queries.select("query_id", "query").limit(10_000).collect()]
+    if not few(queries, MOST_QUERIES):
+        raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
+    rows = queries.select("query_id", "query").collect()  # at most MOST_QUERIES
+    parsed = [(r["query_id"], parse(r["query"] or "")) for r in rows]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

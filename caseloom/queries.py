@@ -110,7 +110,10 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def keyword_rank_cover_density(spark: SparkSession, d: str) -> DataFrame:
-    return keyword.ranked_top(chunks(spark, d), questions(spark, d), 10)
+    # any of a question's first twelve words
+    words = F.slice(F.split("query", " "), 1, 12)
+    asks = questions(spark, d).withColumn("query", F.array_join(words, " or "))
+    return keyword.ranked_top(chunks(spark, d), asks, 10)
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE lang = 'de' AND source = 'src0'")
