@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.operators.retrieval import few
 
+try:
+    import ahocorasick
+except ImportError:  # the join below does the same, more slowly
+    ahocorasick = None
+
 MOST_VALUES = 100_000
 GROUNDED, PARTIAL = 0.9, 0.5
 WEIGHTS = {"citation": 0.35, "claims": 0.35, "facts": 0.30}
@@ -40,12 +48,38 @@ def grounding_status(score: Column) -> Column:
     return F.when(score >= GROUNDED, "grounded").when(score >= PARTIAL, "partial").otherwise("ungrounded")
 
 
+def _texts_with(body: DataFrame, values: list[str]) -> DataFrame:
+    """(norm, n): the number of rows whose body contains each value; values without one are left
+    out."""
+    shared = body.sparkSession.sparkContext.broadcast(values)  # at most MOST_VALUES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for v in shared.value:
+            machine.add_word(v, v)
+        if not len(machine):
+            return
+        machine.make_automaton()
+        for batch in batches:
+            found = [v for text in batch.column(0) for v in {hit for _, hit in machine.iter(text.as_py())}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["norm"])
+
+    if ahocorasick is None:
+        spark = body.sparkSession
+        table = spark.createDataFrame([(v,) for v in values], "norm string")
+        hits = body.join(F.broadcast(table), F.col("body").contains(F.col("norm"))).select("norm")
+    else:
+        hits = body.mapInArrow(run, "norm string")
+    return hits.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+
+
 def supported_facts(claims: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
     """(claim_id, value, supporting_docs, is_sufficiently_supported) for each critical value.
 
     claims(claim_id, claim) x docs(doc_id, content): a document supports a value that its
-    normalised text contains.  Documents are scanned once against the list of distinct values,
-    which is broadcast; only counts are shuffled.  More than MOST_VALUES values at a time raise.
+    normalised text contains.  One pass over each text finds all values at once by an automaton
+    of them, which is broadcast; only counts are shuffled.  More than MOST_VALUES distinct values
+    at a time raise.
     """
     values = claims.select(
         "claim_id", F.explode(F.array_distinct(T.critical_values(F.col("claim")))).alias("value")
@@ -54,11 +88,7 @@ def supported_facts(claims: DataFrame, docs: DataFrame, least: int = 2) -> DataF
     if not few(distinct, MOST_VALUES):
         raise ValueError(f"more than {MOST_VALUES} values at a time: split the claims")
     body = docs.select(T.normalise_content(F.coalesce(F.col("content"), F.lit(""))).alias("body"))
-    counts = (
-        body.join(F.broadcast(distinct), F.col("body").contains(F.col("norm")))
-        .groupBy("norm")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _texts_with(body, [r["norm"] for r in distinct.collect()])
     out = values.join(counts, "norm", "left").withColumn("supporting_docs", F.coalesce("n", F.lit(0)).cast("long"))
     return out.select(
         "claim_id", "value", "supporting_docs", (F.col("supporting_docs") >= least).alias("is_sufficiently_supported")
