@@ -5,7 +5,9 @@ Inverted lists from pivots to vectors retrieve candidates; two vectors are compa
 share at least SHARED of these pivots, in the list of the first pivot they share only, and each
 such pair is verified by its cosine in double precision.
 
-Pivots are a bounded sample of the vectors; every vector is indexed.  Equal vectors of a label
+Pivots are chosen farthest first from a bounded sample of the vectors, so that they do not crowd
+inside a large group of near vectors, whose members would then share few of them; every vector
+is indexed.  Equal vectors of a label
 are one class, so a very common vector is one entry.  Lists longer than BLOCK entries are cut
 into blocks and compared block by block, so no list is one task.  A block returns, for each
 vector, the number of vectors linked and one edge to the smallest linked tree: its rows grow
@@ -28,6 +30,9 @@ from caseloom.llm.runtime import durable
 #: Pivots: one for each VECTORS_PER_PIVOT distinct vectors, within these bounds.
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 32, 2048
 NEAREST, SHARED = 10, 2
+#: Pivots are chosen from so many times as many vectors; beyond LEAST_PIVOTS, none whose cosine
+#: with a chosen one reaches SPACING.
+SAMPLED, SPACING = 4, 0.8
 BLOCK = 1024
 
 
@@ -35,16 +40,34 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in column])
 
 
+def spread_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Rows of sample, unit vectors, farthest first: each has the least cosine with those before."""
+    chosen, nearest = [0], sample @ sample[0]
+    while len(chosen) < min(wanted, len(sample)):
+        nearest[chosen[-1]] = np.inf
+        at = int(np.argmin(nearest))
+        if nearest[at] >= SPACING and len(chosen) >= LEAST_PIVOTS:
+            break
+        chosen.append(at)
+        np.maximum(nearest, sample @ sample[at], out=nearest)
+    return sample[chosen]
+
+
 def choose_pivots(vectors: DataFrame, most: int = MOST_PIVOTS) -> np.ndarray:
-    """A sample of the distinct vectors, drawn by a hash of their id; at most `most` rows."""
+    """Spread vectors of a sample of the distinct ones, drawn by a hash of their id; at most `most` rows."""
     n = vectors.count()
     wanted = min(most, max(LEAST_PIVOTS, n // VECTORS_PER_PIVOT))
-    rows = vectors.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()
+    sampled, parts = SAMPLED * wanted, 1_000_000
+    # a share of the rows by another hash first, so that the sort is not over the whole table
+    share = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(parts)) < min(parts, 2 * sampled * parts // max(n, 1) + 1)
+    drawn = vectors.where(share).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(sampled)
+    rows = [v.values.to_numpy(zero_copy_only=False) for v in drawn.toArrow().column("embedding")]
     if not rows:
         return np.zeros((0, 0))
-    width = max(set(len(r["embedding"]) for r in rows), key=[len(r["embedding"]) for r in rows].count)
-    found = _matrix([r["embedding"] for r in rows if len(r["embedding"]) == width])
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+    widths = [len(v) for v in rows]
+    width = max(set(widths), key=widths.count)
+    found = np.array([v for v in rows if len(v) == width], dtype=np.float64)
+    return spread_pivots(found / np.linalg.norm(found, axis=1, keepdims=True), wanted)
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:

@@ -164,6 +164,23 @@ def test_recall_on_close_pairs(spark):
     assert sum(g[1] for g in got) >= 0.9 * sum(w[1] for w in want)
 
 
+@pytest.mark.parametrize("part", [3, 1.25])
+def test_recall_in_a_large_group(spark, monkeypatch, part):
+    """Near, not equal vectors of one group, a third or four fifths of all, and many pivots."""
+    monkeypatch.setattr(embedding_dedup, "VECTORS_PER_PIVOT", 2)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, g = 1500, int(1500 / part)
+    group = np.sqrt(0.93) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.07) * unit(rng.normal(size=(g, 64)))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([group, unit(rng.normal(size=(n - g, 64)))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    x = unit(np.array([r[1] for r in rows]))
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 50_000 and all(got[i] <= want[i] for i in range(n))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 COMMON = {k: v.split() for k, v in toxicity.COMMON.items()}
