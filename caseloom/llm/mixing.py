@@ -161,3 +161,21 @@ def mixed_documents(docs: DataFrame, weights: dict | None = None, block_docs: in
     out = mix(docs.withColumnsRenamed(own), weights, block_docs)
     ordered = out.repartitionByRange(partitions(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position")
     return ordered.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
+def file_positions(docs: DataFrame, name: str) -> DataFrame:
+    """docs read from files, with the column name: numbers of all rows from 0 in the order of the
+    files' names and of the rows in them, which is that of a written mixed_documents()."""
+    spark = docs.sparkSession
+    rows = docs.select(
+        *docs.columns, F.col("_metadata.file_name").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_row")
+    )
+    sizes = docs.select(F.col("_metadata.file_name").alias("file")).groupBy("file").count().collect()
+    at, table = 0, []
+    for file, n in sorted(map(tuple, sizes)):
+        table.append((file, at))
+        at += n
+    starts = spark.createDataFrame(table, f"{name}_file string, {name}_start long")
+    return rows.join(F.broadcast(starts), f"{name}_file").select(  # one row a file
+        *docs.columns, (F.col(f"{name}_start") + F.col(f"{name}_row")).alias(name)
+    )

@@ -7,6 +7,9 @@ finds that window in log(length) steps.
 
 Rests are dealt by hash into groups of about GROUP_PIECES, each packed by one task, so no task
 grows with the table and no key can be hot.  A group leaves a handful of windows short of full.
+
+Documents that have an order are dealt by consecutive ranges of it instead, and sequences are
+numbered in it, so that what the order decides holds for the sequences.
 """
 
 from __future__ import annotations
@@ -81,8 +84,11 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return number, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -> DataFrame:
-    """Full windows and the rest of each document: (doc_id, start, length, ids_crc32, doc_tokens)."""
+def pieces(
+    docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, position: str | None = None
+) -> DataFrame:
+    """Full windows and the rest of each document: (doc_id, start, length, ids_crc32, doc_tokens),
+    and pack_position, where the column of that number is given."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -100,22 +106,35 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0)
                     total.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int32()))]
-                + [pa.array(x, pa.int64()) for x in (start, length, crc, total)],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+                + [c.take(pa.array(owner, pa.int32())) for c in batch.columns[2:]],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *batch.schema.names[2:]],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"], docs["text"].cast("string")).mapInArrow(
-        cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+    placed = [docs[position].cast("long").alias("pack_position")] if position else []
+    return docs.select(docs["doc_id"], docs["text"].cast("string"), *placed).mapInArrow(
+        cut,
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+        + (", pack_position long" if position else ""),
     )
 
 
+def in_order(number: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """number, with the windows numbered anew by the mean position of their pieces."""
+    mean = np.bincount(number, weights=position) / np.bincount(number)
+    rank = np.empty(len(mean), np.int64)
+    rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+    return rank[number]
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
     window: int = 1024,
     end_id: int = 0,
     group_pieces: int = GROUP_PIECES,
+    position: str | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their place: adds sequence_id and offset.
 
@@ -123,17 +142,27 @@ def pack(
     gap from offset 0.  A null text is empty and gives one piece, the end id.  Repeated rows
     are packed one by one; equal lengths keep the order of (doc_id, start); an empty table
     gives no piece; columns other than doc_id and text are not read.
+
+    position: a column that numbers all rows from 0.  Groups are then consecutive ranges of it,
+    and sequence_id rises with it: with the ranges, and in each with the mean position of a
+    sequence's pieces.
     """
-    groups = max(1, -(-docs.count() // group_pieces))
-    cut = pieces(docs, tokenizer, window, end_id)
-    spread = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)).cast("long")
+    groups = 1 if position else max(1, -(-docs.count() // group_pieces))
+    cut = pieces(docs, tokenizer, window, end_id, position)
+    if position:
+        spread = F.floor(F.col("pack_position") / group_pieces).cast("long")
+    else:
+        spread = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)).cast("long")
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        by = ["pack_position", "start"] if position else ["doc_id", "start"]
+        pdf = pdf.sort_values(by, kind="stable", ignore_index=True)
         number, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
+        if position:
+            number = in_order(number, pdf["pack_position"].to_numpy())
         pdf["sequence_id"] = number + (int(key[0]) << 32)
         pdf["offset"] = offset
-        return pdf.drop(columns="pack_group")
+        return pdf.drop(columns=["pack_group", "pack_position"] if position else "pack_group")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (

@@ -55,8 +55,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in the packed sequences."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of all documents with their place in the packed sequences, which follow the order
+    of the documents in the files that the mixing stage made."""
+    placed = mixing.file_positions(docs.select("doc_id", "text"), "pack_position")
+    return packing.pack(placed, tokenizer_path(), position="pack_position")
 
 
 STAGES = [

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from caseloom.llm import mixing, packing
 
 pytest.importorskip("public_tokenizers")
 INSULTS = ["grumble", "snark", "blight"]
@@ -57,3 +58,27 @@ def test_stages(spark, tables, tmp_path):
     assert sum(r["doc_tokens"] for r in found["packing"] if r["start"] == 0) == sum(r["length"] for r in found["packing"])
     run = corpus_pipeline.run(spark, path).collect()
     assert sorted((str(r["doc_id"]), r["start"], r["ids_crc32"]) for r in run) == sorted((str(r["doc_id"]), r["start"], r["ids_crc32"]) for r in found["packing"])
+
+
+def test_mixing_shapes_the_sequences(spark, tmp_path, monkeypatch):
+    """The order of the mixing stage decides which documents share a sequence and its number."""
+    text = "some of the words of a document " * 40
+    rows = [(i, f"{text}{i}", "hot" if i < 600 else f"s{i % 2}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    source = {i: s for i, _, s in rows}
+    monkeypatch.setattr(packing.pack, "__defaults__", (*packing.pack.__defaults__[:2], 128, *packing.pack.__defaults__[3:]))
+    found = []
+    for name, weights in (("hot", {"hot": 8, "s0": 1, "s1": 1}), ("even", {"hot": 1, "s0": 1, "s1": 1})):
+        mixing.mixed_documents(docs, weights).write.parquet(f"file://{tmp_path}/{name}")
+        mixed = spark.read.parquet(f"file://{tmp_path}/{name}")
+        placed = {r["doc_id"]: r["p"] for r in mixing.file_positions(mixed, "p").collect()}
+        want = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs, weights).collect()}
+        assert placed == want
+        got = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
+        assert sorted(r["doc_id"] for r in got if r["start"] == 0) == sorted(source)
+        assert all(r["sequence_id"] >> 32 == placed[r["doc_id"]] // 128 for r in got)
+        early = {r["doc_id"] for r in sorted(got, key=lambda r: r["sequence_id"]) if placed[r["doc_id"]] < 256}
+        assert {r["doc_id"] for r in got if r["sequence_id"] >> 32 < 2} == early
+        found.append((sum(source[i] == "hot" for i in early) / len(early), {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in got}))
+    assert found[0][1] != found[1][1]
+    assert found[0][0] > 0.7 and 0.25 < found[1][0] < 0.45
