@@ -47,7 +47,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), arrivals=sharding.ARRIVALS)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Shards of a growing table, in DataFrame operations only.
 
 Method: size-tiered compaction.  Arrivals are appended as small immutable files; files whose
-sizes fall into one tier are merged FAN_IN at a time until they reach the target size; each step
+sizes fall into one tier are merged FAN_IN at a time until they reach the target size, and a file
+above the target is split before it is committed, whatever the splits of the input; each step
 commits a new version of a manifest, which lists the files that make up the table.  A version is
 written to a temporary file and renamed to its number: the rename fails if another writer has
 taken that number, so commits are atomic and readers see whole versions only.  A failed step
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from caseloom.llm.runtime import scratch_path
 
 MIB = 1 << 20
+#: Arrivals in which a table is appended; each reads the whole table once.
+ARRIVALS = 8
 
 
 @dataclass(frozen=True)
@@ -120,21 +123,33 @@ class ShardedTable:
 
     # --- data ---------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, generation: int) -> list[Shard]:
-        """Write df's partitions as files of a new folder and list them."""
+    def _write(self, df: DataFrame, generation: int, most_rows: int = 0) -> list[Shard]:
+        """Write df's partitions as files of a new folder, each of at most most_rows rows if that
+        is given and of at most the target size, and list them."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        df.write.option("maxRecordsPerFile", most_rows).parquet(folder)
         found = [
             (s.getPath().toString(), s.getLen())
             for s in self._fs().listStatus(self._path(folder))
             if s.getPath().getName().startswith("part-")
         ]
-        return [Shard(p, n, self.policy.tier(n), generation) for p, n in sorted(found)]
-
-    def append(self, df: DataFrame) -> int:
-        """Add the rows of df as small files, one for each of its partitions."""
+        written = [Shard(p, n, self.policy.tier(n), generation) for p, n in sorted(found)]
+        return [part for s in written for part in (self._split(s) if s.size > self.policy.target else [s])]
+
+    def _split(self, shard: Shard) -> list[Shard]:
+        """Files within the target with the rows of shard; a single row is never split."""
+        rows = self.spark.read.schema(self.schema).parquet(shard.path)
+        n = rows.count()
+        if n < 2:
+            return [shard]
+        parts = max(2, -(-shard.size * 4 // (self.policy.target * 3)))
+        return self._write(rows.coalesce(1), shard.generation, max(1, n // parts))
+
+    def append(self, df: DataFrame, most_rows: int = 0) -> int:
+        """Add the rows of df as small files, one or more for each of its partitions: most_rows
+        is the most rows of a file, 0 for no bound but the target size."""
         at = self.version()
-        return self.commit([*self.shards(at), *self._write(df, 0)], at)
+        return self.commit([*self.shards(at), *self._write(df, 0, most_rows)], at)
 
     def compact(self, threads: int = 4) -> int:
         """One round of merges, committed as one version; 0 if there is nothing to merge.
@@ -192,14 +207,18 @@ def shard_documents(docs: DataFrame, root: str | None = None, policy: Policy | N
 
     The rows are appended in the given number of arrivals, compacted after each, and read back
     from the last version.  Nulls, empty and long texts, repeated rows and other columns are
-    stored as they are; an empty table gives no row.  A target below one row's size gives files
-    of one row group each, never a split row.
+    stored as they are; an empty table gives no row.  No shard is above the target, unless it is
+    a single row: rows are never split.
     """
     spark = docs.sparkSession
     store = ShardedTable(spark, root or scratch_path(spark, "shards"), docs.schema, policy)
+    most_rows = 0
     for k in range(arrivals):
         part = docs if arrivals == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k)
-        store.append(part)
+        store.append(part, most_rows)
+        if not most_rows and k + 1 < arrivals:  # from now on, files of about the lowest tier
+            size = sum(s.size for s in store.shards())
+            most_rows = max(1, store.read().count() * store.policy.base // size) if size else 0
         store.compact_fully()
         store.vacuum()
     version = store.version()

@@ -198,6 +198,33 @@ def test_shard_documents(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("splits", "arrivals"), [(1, 1), (1, 4), (40, 4)])
+def test_shards_are_within_the_target_at_any_split_size(spark, splits, arrivals):
+    rng = random.Random(7)
+    rows = [(i, rng.randbytes(rng.choice([20, 200, 1_500])).hex()) for i in range(400)] + [(400, rng.randbytes(30_000).hex())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(splits)
+    got = sharding.shard_documents(df, policy=SMALL, arrivals=arrivals).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(401))
+    single = [r["shard"] for r in got if r["doc_id"] == 400]
+    assert all(r["shard_bytes"] <= SMALL.target for r in got if r["shard"] not in single)
+    assert sum(r["shard"] in single for r in got) == 1  # larger than the target, so alone
+    sizes = {r["shard"]: r["shard_bytes"] for r in got}
+    assert sum(n >= SMALL.target // 2 for n in sizes.values()) >= len(sizes) / 2
+
+
+def test_the_query_appends_small_arrivals(spark, monkeypatch):
+    from caseloom.llm import queries
+
+    seen = []
+    append = sharding.ShardedTable.append
+    monkeypatch.setattr(sharding.ShardedTable, "append", lambda self, df, *a: seen.append(append(self, df, *a)) or seen[-1])
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *a: rows)
+    got = queries.op5_sharding(spark, "").collect()
+    assert len(seen) == sharding.ARRIVALS > 1 and max(r["generation"] for r in got) >= 1
+    assert sorted(r["doc_id"] for r in got) == list(range(50))
+
+
 def test_merges_stay_within_the_target():
     shards = [sharding.Shard(f"p{i}", 900 + i, SMALL.tier(900 + i), 0) for i in range(60)]
     groups = SMALL.merges(shards)
