@@ -76,9 +76,9 @@ def test_mixing_shapes_the_sequences(spark, tmp_path, monkeypatch):
         assert placed == want
         got = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
         assert sorted(r["doc_id"] for r in got if r["start"] == 0) == sorted(source)
-        assert all(r["sequence_id"] >> 32 == placed[r["doc_id"]] // 128 for r in got)
+        assert all(r["sequence_id"] >> packing.GROUP_SHIFT == placed[r["doc_id"]] // 128 for r in got)
         early = {r["doc_id"] for r in sorted(got, key=lambda r: r["sequence_id"]) if placed[r["doc_id"]] < 256}
-        assert {r["doc_id"] for r in got if r["sequence_id"] >> 32 < 2} == early
+        assert {r["doc_id"] for r in got if r["sequence_id"] >> packing.GROUP_SHIFT < 2} == early
         found.append((sum(source[i] == "hot" for i in early) / len(early), {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in got}))
     assert found[0][1] != found[1][1]
     assert found[0][0] > 0.7 and 0.25 < found[1][0] < 0.45

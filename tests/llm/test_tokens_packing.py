@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer
@@ -105,6 +107,28 @@ def test_packing_round_trip(spark, library):
     assert len(twice) == 2 * len(packing.pack(df.limit(3), PATH).collect())
 
 
+def test_ids_of_any_type_are_carried(spark, library):
+    """Large, null and string ids come back as they are; full windows are sequences of their own."""
+    long = "many words of a text " * 300
+    rows = [(2**53 + 1, "one"), (2**53 + 3, long), (None, "three"), (None, None), (2**63 - 1, "x" * 5000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 128).collect()
+    check_packing(rows[:2] + rows[4:], [r for r in got if r["doc_id"] is not None], library, 128)
+    assert sorted(r["doc_tokens"] for r in got if r["doc_id"] is None) == [1, 2]
+    owners = {}
+    for r in got:
+        owners.setdefault(r["sequence_id"], []).append(r["length"])
+    assert sum(128 in v for v in owners.values()) > 10 and all(len(v) == 1 for v in owners.values() if 128 in v)
+    named = packing.pack(spark.createDataFrame([("a", "t"), (None, "u")], "doc_id string, text string"), PATH).collect()
+    assert sorted(str(r["doc_id"]) for r in named) == ["None", "a"]
+
+
+def test_many_rows_of_one_id_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = packing.pack(df, PATH, 64, group_pieces=200).collect()
+    groups = Counter((r["sequence_id"] & ~packing.PACKED) >> 23 for r in got)
+    assert len(got) == 4000 and len(groups) == 20 and max(groups.values()) < 400
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(7)
     for _ in range(30):
