@@ -2,17 +2,24 @@
 
 Method: overlap resynchronisation.  A text longer than one chunk is encoded in overlapping
 chunks; two neighbours are spliced at a position that both chunks have as a token boundary and
-that is proven stable.  If the overlap holds no such position it is widened, in the end to the
-whole rest of the text.
+that is proven stable.  An overlap without such a position is widened, in the end to the whole
+chunk; a chunk without one is lengthened to the next one in the text.
 
-A position is proven stable when its character is one blank that follows a character other
-than white space and precedes a letter.  In the byte-level pre-tokenizer a blank followed by a
-letter can only open a piece, so every scan of any chunk that covers this place starts a piece
-there, and from there on both scans read the same characters.
+A position is proven stable when the byte-level pre-tokenizer must open a piece there whatever
+stands before, so that every scan of any chunk reads the same pieces from there on:
+
+* a single blank between two characters other than white space: only the next piece takes it;
+* any character but white space after a line break or tab: such a run never joins what follows;
+* a mark after a letter: no piece with a letter goes on with a mark.
+
+Letters and marks are taken from ranges that are such in every version of Unicode, so the rule
+holds whatever version an engine has; scripts without blanks are spliced at their punctuation.
+Positions within a special string are left out.
 
 Byte-level BPE files are read from their own vocabulary and run by a second implementation of
 the same merges, about seven times faster than the file's library and equal to it in results
-(tests hold the two against each other).  Other files run in their own library.
+(tests hold the two against each other).  Its pattern engine gives up on very long runs of white
+space; such chunks run in the file's own library, as do other files.
 """
 
 from __future__ import annotations
@@ -33,7 +40,15 @@ OVERLAP_CHARS = 1 << 10
 
 #: Fixed value: the piece pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_STABLE = re.compile(r"(?<=\S) (?=[A-Za-zÀ-ÖØ-öø-ɏ])")
+#: Letters of common scripts, and marks of ASCII (but the apostrophe, which opens a
+#: contraction) and of CJK and full-width punctuation.
+_LETTERS = (
+    "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u052f\u0531-\u0556"
+    "\u0561-\u0586\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0904-\u0939\u0e01-\u0e30\u10d0-\u10f0\u3041-\u3096\u30a1-\u30fa"
+    "\u4e00-\u9fa5\uac00-\ud7a3"
+)
+_MARKS = r"!-&(-/:-@\[-`{-~" + "\u00a1\u00ab\u00bb\u00bf\u2010-\u2027\u3001-\u3003\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+_STABLE = re.compile(rf"(?<=\S) (?=\S)|(?<=[\n\r\t])(?=\S)|(?<=[{_LETTERS}])(?=[{_MARKS}])")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -49,9 +64,10 @@ class ByteLevelEncoder:
 
     splices = True
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, spec: dict, path: str) -> None:
         import tiktoken
 
+        self._path = path
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = _byte_alphabet()
         ranks = {
@@ -87,11 +103,18 @@ class ByteLevelEncoder:
         return all(x < y for x, y in zip(ids, ids[1:], strict=False))
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self._special):
-            return np.asarray(
-                self._tt.encode(text, allowed_special="all", disallowed_special=()), np.uint32
-            )
-        return self._tt.encode_to_numpy(text, disallowed_special=())
+        try:
+            if any(s in text for s in self._special):
+                return np.asarray(
+                    self._tt.encode(text, allowed_special="all", disallowed_special=()), np.uint32
+                )
+            return self._tt.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # a run that is too long for the pattern engine
+            return _library(self._path).encode(text)
+
+    def within_special(self, text: str, place: int) -> bool:
+        """Whether place lies inside a special string of text."""
+        return any(text.find(s, max(0, place - len(s) + 1), place + len(s) - 1) >= 0 for s in self._special)
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of each token's end."""
@@ -121,6 +144,11 @@ class LibraryEncoder:
         return np.asarray(self._encode(text), dtype=np.uint32)
 
 
+@lru_cache(maxsize=2)
+def _library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ByteLevelEncoder | LibraryEncoder:
     """The encoder of a tokenizer file, kept by each Python worker."""
@@ -128,7 +156,7 @@ def encoder(path: str) -> ByteLevelEncoder | LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if ByteLevelEncoder.fits(spec):
-            return ByteLevelEncoder(spec)
+            return ByteLevelEncoder(spec, path)
     return LibraryEncoder(path)
 
 
@@ -142,31 +170,56 @@ def encode_pieces(
     if not enc.splices or len(text) <= chunk:
         yield enc.encode(text)
         return
-    start, end = 0, chunk
-    ids = enc.encode(text[start:end])
+    start = 0
+    end, at = _chunk_end(enc, text, 0, chunk, overlap)
+    ids = enc.encode(text[:end])
     while end < len(text):
-        width = overlap
-        while True:
-            at = max(start, end - width)
-            if at == start:  # no stable place in the whole chunk: lengthen it
-                end = min(len(text), end + (end - start))
-                ids = enc.encode(text[start:end])
-                break
-            later = enc.encode(text[at : at + chunk])
-            cut = _common_boundary(enc, text, start, ids, at, end, later)
-            if cut:
-                place, n_ids, skip = cut
-                yield ids[:n_ids]
-                start, end, ids = place, min(len(text), at + chunk), later[skip:]
-                break
-            width *= 2
+        later_end, later_at = _chunk_end(enc, text, at, end - at + chunk, overlap)
+        later = enc.encode(text[at:later_end])
+        cut = _common_boundary(enc, text, start, ids, at, end, later)
+        if cut:
+            place, n_ids, skip = cut
+            yield ids[:n_ids]
+            start, end, at, ids = place, later_end, max(later_at, place), later[skip:]
+        elif at > start:
+            at = max(start, end - 2 * (end - at))
+        else:  # no place after the start: go on with the longer one
+            end, at, ids = later_end, later_at, later
     yield ids
 
 
+def _places(enc, text: str, first: int, stop: int) -> Iterator[int]:
+    """Stable positions p with first < p and p + 1 < stop, in order."""
+    for m in _STABLE.finditer(text, first + 1, stop):
+        if m.start() + 1 < stop and not enc.within_special(text, m.start()):
+            yield m.start()
+
+
+def _chunk_end(enc, text: str, start: int, chunk: int, overlap: int) -> tuple[int, int]:
+    """End of a chunk from start, and the start of an overlap before it with a stable position:
+    the overlap is widened, then the chunk lengthened, until there is one."""
+    end = min(len(text), start + chunk)
+    if end == len(text):
+        return end, end
+    width = overlap
+    while True:
+        at = max(start, end - width)
+        if next(_places(enc, text, at, end), None) is not None:
+            return end, at
+        if at == start:
+            break
+        width *= 2
+    place = next(_places(enc, text, max(start, end - 2), len(text)), None)
+    if place is None:
+        return len(text), len(text)
+    end = min(len(text), place + overlap + 2)
+    return end, max(start, place - 1)
+
+
 def _common_boundary(enc, text, start, ids, at, end, later):
     """Last stable position in text[at:end - 1] that both encodings have as a boundary, with
     the number of tokens before it in each; None if there is none."""
-    places = [m.start() for m in _STABLE.finditer(text, at + 1, end - 1)]
+    places = list(_places(enc, text, at, end))
     if not places:
         return None
     ends, later_ends = enc.ends(ids), enc.ends(later)

@@ -52,6 +52,38 @@ def test_spliced_chunks_equal_the_whole(library, chunk, overlap):
         assert np.concatenate(parts).tolist() == ids_of(library, text)
 
 
+HARD = {
+    "blanks": " " * 2_000_000, "lines": "\n" * 2_000_000, "one letter": "x" * 2_000_000, "blanks and a letter": " " * 1_200_000 + "x",
+    "cyrillic": "привет, как дела? " * 70_000, "chinese": "汉字的文本，没有空格。" * 100_000, "chinese without marks": "汉字文本" * 300_000,
+    "runs": ("a" * 70_000 + " " * 70_000 + "\n" + "1" * 70_000 + ".") * 3,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_long_texts_equal_the_library(library, name):
+    enc, text = tokens.encoder(PATH), HARD[name]
+    assert np.concatenate(list(tokens.encode_pieces(enc, text))).tolist() == ids_of(library, text)
+
+
+@pytest.mark.parametrize(("name", "times"), [("cyrillic", 1.1), ("chinese", 1.1), ("runs", 1.5)])
+def test_texts_without_latin_words_are_spliced(name, times, monkeypatch):
+    enc, text, read = tokens.encoder(PATH), HARD[name], []
+    encode = type(enc).encode
+    monkeypatch.setattr(type(enc), "encode", lambda self, t: read.append(len(t)) or encode(self, t))
+    parts = list(tokens.encode_pieces(enc, text))
+    assert len(parts) > len(text) / 300_000 and sum(read) < times * len(text)
+
+
+@pytest.mark.parametrize("chunk", [17, 40, 90])
+def test_random_texts_are_spliced_without_a_change(library, chunk):
+    enc, rng = tokens.encoder(PATH), random.Random(chunk)
+    parts = ["a", "Ж", "字", "。", "，", " ", "  ", "\n", "\t", "'", "'re", "s", "1", "-", "<|endoftext|>", "<|", "|>", "\u00a0", "\x1c", "\u3000", "é", "🙂", "́"]
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 250)))
+        got = [x for p in tokens.encode_pieces(enc, text, chunk, rng.randint(1, 9)) for x in p.tolist()]
+        assert got == ids_of(library, text), repr(text)
+
+
 def test_counts(spark, library):
     rows = [(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(0, "", 1, "x"), (None, "null id", 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, n_bytes string")
