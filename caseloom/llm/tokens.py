@@ -14,7 +14,7 @@ stands before, so that every scan of any chunk reads the same pieces from there
 
 Letters and marks are taken from ranges that are such in every version of Unicode, so the rule
 holds whatever version an engine has; scripts without blanks are spliced at their punctuation.
-Positions within a special string are left out.
+Positions within a special string, or at its start, are left out.
 
 Byte-level BPE files are read from their own vocabulary and run by a second implementation of
 the same merges, about seven times faster than the file's library and equal to it in results
@@ -113,8 +113,9 @@ class ByteLevelEncoder:
             return _library(self._path).encode(text)
 
     def within_special(self, text: str, place: int) -> bool:
-        """Whether place lies inside a special string of text."""
-        return any(text.find(s, max(0, place - len(s) + 1), place + len(s) - 1) >= 0 for s in self._special)
+        """Whether place lies inside a special string of text or before one: white space in front
+        of it is cut as at the end of a text, which a chunk that cuts the string does not see."""
+        return any(text.find(s, max(0, place - len(s) + 1), place + len(s)) >= 0 for s in self._special)
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of each token's end."""
