@@ -4,7 +4,11 @@ Method: two passes over the blocks of a page.  The first pass decides blocks by
 density, length and link density, with the element they stand in as a hint; short blocks that
 these rules leave open are labelled in the second pass after their nearest decided neighbours in
 the same region.  The page is read by one scan over its tags with a stack of open elements, in
-time and memory proportional to the page.
+time and memory proportional to the page, whatever quotes or brackets it leaves open.
+
+Stop words tell nothing in languages that are not listed: where a block is not in Latin letters,
+or hardly any word of the page is a listed one, length, marks at sentence ends and link density
+decide alone.  Scripts without blanks count two characters as a word.
 """
 
 from __future__ import annotations
@@ -19,17 +23,23 @@ from pyspark.sql import DataFrame
 
 from caseloom.llm.textcore import slices
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S,
-)
-#: Fixed values of HTML: elements without content, with raw content, and those within a line.
+_TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTR_NAME = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+#: Fixed values of HTML: elements without content, with content that is no text of the page, and
+#: those that make blocks; others stand within a line, custom ones (with a hyphen) make blocks.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas".split())
-_INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s"
-    " samp small span strike strong sub sup time tt u var wbr img br".split()
+_RAW = frozenset(
+    "script style noscript template textarea title svg iframe object select datalist canvas audio video"
+    " annotation annotation-xml".split()
+)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in _RAW}
+_BLOCK = frozenset(
+    "address article aside blockquote body button caption center colgroup dd details dialog dir div dl dt fieldset"
+    " figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main"
+    " menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: Opening one of these ends an open element of the listed names.
 _ENDS = {
@@ -44,20 +54,28 @@ _SCOPES = frozenset("article main body table section div td th ul ol nav aside f
 _NOISE_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
 _MAIN_TAGS = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|menu|nav|navbar"
-    r"|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?"
-    r"|commentlist|comment-\w+|disqus|replies|reply|respond|widget|toolbar|pagination|pager|tags|skip"
-    r"|copyright|disclaimer|gdpr|form)(?=$|[\s_-])",
-    re.I,
+#: One part of a class or id, cut at hyphens, underscores and capitals.
+_NOISE_PART = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|header"
+    r"|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing"
+    r"|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|tags"
+    r"|skip|copyright|disclaimer|gdpr|form)\d*"
+)
+#: Parts that go with these in names of page elements, and words that only phrases have.
+_LAYOUT = frozenset(
+    "site main page top bottom left right upper lower inner outer global primary secondary first last box bar wrap wrapper"
+    " container block area list item section row col column module slot unit zone group panel content text body title link"
+    " links icon icons button buttons post posts side mobile desktop sticky fixed wp".split()
 )
+_PHRASE = frozenset("a an and at by for from in of on or the to with without de des du la le les und der die das el los".split())
 _NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split()
 )
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_NO_BLANKS = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+_SENTENCE_END = re.compile("[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4]")
 #: Common words of the languages of the corpus.
 STOP_WORDS = frozenset(
     # English
@@ -89,42 +107,103 @@ class Block:
     link_parts: list[str] = field(default_factory=list)
 
 
-def _is_noise(name: str, attrs: str, in_main: bool) -> bool:
+def _noisy_name(value: str, strict: bool) -> bool:
+    """Whether a class or id names something that is no article: one of its parts does; where
+    strict the last one, or one among layout words.  Phrases are titles, not names of elements."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[-_\W]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
+        if len(parts) > 2 and not _PHRASE.isdisjoint(parts[1:-1]):
+            continue
+        noisy = [bool(_NOISE_PART.fullmatch(x)) for x in parts]
+        layout = all(n or x in _LAYOUT or x.isdigit() for n, x in zip(noisy, parts, strict=True))
+        if any(noisy) and (not strict or noisy[-1] or layout):
+            return True
+    return False
+
+
+def _is_noise(name: str, attrs: list[tuple[str, str]], in_main: bool) -> bool:
     if name in _NOISE_TAGS or (name == "header" and not in_main):
         return True
+    if "-" in name and _noisy_name(name, True):
+        return True
     if not attrs or name in ("html", "body", "article", "main") or name in _HEADINGS:
         return False
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+    for key, value in attrs:
         if key == "hidden" or (key == "style" and _HIDDEN.search(value)):
             return True
-        if key == "role" and value.lower() in _NOISE_ROLES:
+        if key == "role" and value.strip().lower() in _NOISE_ROLES:
             return True
-        if key in ("class", "id") and _NOISE_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
+        if key in ("class", "id") and _noisy_name(value, key == "id"):
             return True
     return False
 
 
+def _tag_end(html: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+    """End of the tag whose name ends at `at`, its attributes, and whether it closes itself.
+
+    A quote opens a value only after an equals sign; one that is never closed ends with the tag.
+    A tag that is never closed ends with the page.  Each quote is searched in vain once at most.
+    """
+    attrs: list[tuple[str, str]] = []
+    while True:
+        at = _GAP.match(html, at).end()
+        if at >= len(html):
+            return at, attrs, False
+        if html[at] == ">":
+            return at + 1, attrs, html[at - 1] == "/"
+        name = _ATTR_NAME.match(html, at)
+        at = name.end()
+        equals = _EQUALS.match(html, at)
+        value = ""
+        if equals:
+            at = equals.end()
+            quote = html[at : at + 1]
+            if quote in ("'", '"'):
+                stop = html.find(quote, at + 1)
+                if stop < 0:
+                    stop = html.find(">", at + 1)
+                    attrs.append((name[0].lower(), html[at + 1 : stop] if stop >= 0 else ""))
+                    return (stop + 1 if stop >= 0 else len(html)), attrs, False
+                value, at = html[at + 1 : stop], stop + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        attrs.append((name[0].lower(), value))
+
+
+def _comment_end(html: str, at: int) -> int:
+    """End of the comment, declaration or other mark-up without a name that starts at `at`."""
+    if html.startswith("<!--", at):
+        if html.startswith(("<!-->", "<!--->"), at):
+            return html.index(">", at) + 1
+        stop = html.find("-->", at + 4)
+        return stop + 3 if stop >= 0 else len(html)
+    stop = html.find(">", at)
+    return stop + 1 if stop >= 0 else len(html)
+
+
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order, with the element hints."""
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, noise, main, region
+    opened: dict[str, int] = {}  # how many of each name are on the stack
     block = Block()
     regions = links = 0
     at = 0
 
     def flush() -> None:
         nonlocal block
-        text = " ".join(unescape("".join(block.parts)).split())
+        text = " ".join("".join(block.parts).split())
         if text:
             block.text = text
-            block.linked = len(" ".join(unescape("".join(block.link_parts)).split()))
+            block.linked = len(" ".join("".join(block.link_parts).split()))
             found.append(block)
         _, noise, main, region = stack[-1] if stack else ("", False, False, 0)
         block = Block(region=region, main=main, noise=noise, heading=any(s[0] in _HEADINGS for s in stack[-3:]))
 
     def add(text: str) -> None:
         if text:
+            text = unescape(text)
             block.parts.append(text)
             if links:
                 block.link_parts.append(text)
@@ -133,45 +212,51 @@ def blocks(html: str) -> list[Block]:
         nonlocal links
         for name, *_ in stack[index:]:
             links -= name == "a"
+            opened[name] -= 1
         del stack[index:]
 
-    def close(names: tuple[str, ...], scoped: bool) -> bool:
+    def close(names: tuple[str, ...], scoped: bool) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 pop_to(i)
-                return True
+                return
             if scoped and stack[i][0] in _SCOPES:
-                return False
-        return False
+                return
 
     while True:
-        m = _TAG.search(html, at)
-        if m is None:
+        mark = html.find("<", at)
+        if mark < 0:
             add(html[at:])
             break
-        add(html[at : m.start()])
-        at = m.end()
-        if not m["name"]:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+        closing = html.startswith("/", mark + 1)
+        named = _TAG_NAME.match(html, mark + 1 + closing)
+        if not named:
+            if closing or html[mark + 1 : mark + 2] in ("!", "?"):
+                add(html[at:mark])
+                at = _comment_end(html, mark)
+            else:
+                add(html[at : mark + 1])
+                at = mark + 1
             continue
-        name = m["name"].lower()
-        inline = name in _INLINE
+        add(html[at:mark])
+        name = named[0].lower()
+        at, attrs, empty = _tag_end(html, named.end())
+        if name in _RAW:
+            if not closing and not (empty and name == "svg"):
+                end = _RAW_END[name].search(html, at)
+                at = end.end() if end else len(html)
+            if name not in ("svg", "annotation", "annotation-xml"):
+                flush()
+            continue
+        inline = name not in _BLOCK and "-" not in name
         if inline and name != "a":
             add(" " if name == "br" else "")
             continue
-        if name in _RAW and not m["close"]:
-            if not m["attrs"].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            flush()
-            continue
-        if m["close"]:
-            if inline:
-                close(("a",), True)
-            else:
-                if name in _SCOPES or name in _HEADINGS or name == "p" or any(s[0] == name for s in stack):
-                    close((name,), name not in _SCOPES)
+        if closing:
+            close((name,), inline or name not in _SCOPES)
+            if not inline:
                 flush()
             continue
         if name in _VOID:
@@ -184,11 +269,12 @@ def blocks(html: str) -> list[Block]:
             if name in _HEADINGS:
                 close(tuple(_HEADINGS), True)
         _, noise, main, region = stack[-1] if stack else ("", False, False, 0)
-        here = _is_noise(name, m["attrs"] or "", main)
+        here = _is_noise(name, attrs, main)
         if name in _MAIN_TAGS and not noise:
             regions += 1
             main, region = True, regions
         stack.append((name, noise or here, main, region))
+        opened[name] = opened.get(name, 0) + 1
         if inline:
             links += 1
         else:
@@ -198,24 +284,38 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block, has_main: bool) -> int:
-    """GOOD, BAD or OPEN by the rules of one block alone."""
+def _n_words(text: str) -> tuple[list[str], int]:
+    """The words of a text, and how many they count as."""
+    words = _WORD.findall(text.lower())
+    return words, len(words) + len(_NO_BLANKS.findall(text)) // 2
+
+
+def _listed_share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def first_pass(block: Block, has_main: bool, listed: bool = True) -> int:
+    """GOOD, BAD or OPEN by the rules of one block alone; listed: whether the page is in a language
+    with listed stop words."""
     if block.noise or (has_main and not block.main):
         return BAD
-    words = _WORD.findall(block.text.lower())
+    words, n = _n_words(block.text)
     link_density = block.linked / len(block.text)
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if link_density > (0.8 if block.main else 0.33) and len(words) < 60:
+    if link_density > (0.8 if block.main else 0.33) and n < 60:
         return BAD
-    if len(words) < 8:
+    if n < 8:
         return OPEN
     if block.main:
         return GOOD
-    if block.heading or len(words) < 15:
+    if block.heading or n < 15:
         return OPEN
+    stops = _listed_share(words)
     if stops >= 0.12:
         return GOOD
-    return GOOD if len(words) >= 60 and stops >= 0.05 and link_density < 0.1 else BAD
+    letters = sum(map(len, words))
+    if not listed or 2 * len(_LATIN.findall(block.text)) < letters:
+        return GOOD if link_density < 0.2 and (n >= 60 or _SENTENCE_END.search(block.text)) else BAD
+    return GOOD if n >= 60 and stops >= 0.05 and link_density < 0.1 else BAD
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
@@ -255,7 +355,9 @@ def main_text(html: str | None) -> str:
         return ""
     found = blocks(html)
     has_main = any(b.main and not b.noise for b in found)
-    labels = second_pass(found, [first_pass(b, has_main) for b in found])
+    words = [w for b in found if not b.noise and 3 * b.linked <= len(b.text) for w in _WORD.findall(b.text.lower())]
+    listed = _listed_share(words) >= 0.15
+    labels = second_pass(found, [first_pass(b, has_main, listed) for b in found])
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 
@@ -263,7 +365,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each page; n_chars counts code points.
 
     A null or empty html gives an empty text.  Repeated rows give one row each; an empty table
-    gives none; a page of any length is read whole; other columns are not read.
+    gives none; a page of any length is read whole, also where it leaves tags or quotes open;
+    other columns, also those named like results, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import os
 import random
+import re
+import time
 import zlib
+from collections import Counter
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from caseloom.llm import embedding_dedup, html_text, mixing, toxicity
@@ -36,11 +42,92 @@ def test_odd_pages_do_not_fail(html):
     assert isinstance(html_text.main_text(html), str)
 
 
+@pytest.mark.parametrize(
+    "title", ["title=it's", "title=5\"x", "title='a > b'", 'title="<b>"', "title = it's x", "disabled/", 'data-x="never closed'],
+)
+def test_quotes_in_attributes_lose_no_text(title):
+    page = f"<article><p {title}>{PROSE} 1</p><p>{PROSE} 2</p><p>{PROSE} 3</p></article>"
+    assert html_text.main_text(page) == f"{PROSE} 1 {PROSE} 2 {PROSE} 3"
+
+
+@pytest.mark.parametrize("part", ['<a href="', "<a title='x ", "<b", "</a", "<!-- ", "<![CDATA[", "<x-y>", "<p title=it's>a<p>", "<div><p>", '<a b="c> ', "&lt;<"])
+def test_time_grows_with_the_page(part):
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.main_text(part * (n // len(part)))
+        return time.perf_counter() - start
+
+    assert min(seconds(1 << 20) for _ in range(2)) < 4
+
+
+def test_languages_without_listed_stop_words():
+    russian = "Это длинный абзац статьи на языке, слов которого нет в списках, и он всё равно часть текста страницы."
+    chinese = "这是一篇文章的段落，它的语言没有列在停用词表中，但它仍然是页面正文的一部分，所以不应该丢失。"
+    polish = "To jest długi akapit artykułu napisanego w języku, którego wyrazów nie ma na żadnej z list, a jednak należy do tekstu."
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(russian.split())) + "</ul>"
+    for prose in (russian, chinese, polish):
+        page = f"<body><div>{menu}<p>{prose}</p><p>{prose} {prose}</p></div><div class=footer>{prose}</div></body>"
+        assert html_text.main_text(page) == f"{prose} {prose} {prose}"
+
+
+@pytest.mark.parametrize("name", ["form-of-government", "comment-on-text", "history of-the-search-form-x", "formation", "notices-board-history"])
+def test_titles_as_names_are_no_noise(name):
+    assert html_text.main_text(f'<article><div class="{name}"><p>{PROSE}</p></div></article>') == PROSE
+
+
+@pytest.mark.parametrize("name", ["ad", "AdBox2", "site-footer", "main-nav", "cookie-law-info", "comment-list", "social_media_icons", "newsletterSignup", "td-sidebar-wrap x"])
+def test_names_of_other_parts_are_noise(name):
+    assert html_text.main_text(f'<article><div class="{name}"><p>{PROSE} no</p></div><p>{PROSE}</p></article>') == PROSE
+
+
+def test_elements_within_a_line():
+    page = f"<article><p>{PROSE} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, wo<font>r</font>ds, &am<b>p; A&amp;B <nobr>y</nobr><![CDATA[z]]>.</article>"
+    assert html_text.main_text(page) == f"{PROSE} Let x=2, words, &amp; A&B y."
+
+
+class Article(HTMLParser):
+    """All text of <article>, by the library's parser: an independent version for the test pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts.append("\n" if tag in ("p", "h1", "h2", "br", "li") else "")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts.append("\n" if tag in ("p", "h1", "h2", "li") else "")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_pages_equal_an_independent_parser():
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not here")
+    hit = found = wanted = 0
+    for page in pq.read_table(path)["html"].to_pylist():
+        parser = Article()
+        parser.feed(page)
+        parser.close()
+        want = " ".join("".join(parser.parts).split())
+        assert html_text.main_text(page) == want
+        bare = Counter(html_text.main_text(re.sub("</?article>", "", page)).split())  # without the hint of the element
+        hit += sum((bare & Counter(want.split())).values())
+        found, wanted = found + bare.total(), wanted + len(want.split())
+    assert hit / found > 0.99 and hit / wanted > 0.95
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "v", "", "x"), (1, "u", PAGE, "x"), (None, "w", f"<main><p>{PROSE}</p></main>" * 300, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert sorted(len(r["text"]) == 0 for r in got) == [False, False, False, True, True]
     assert next(r for r in got if r["page_id"] is None)["text"].count("paragraph") == 300
     assert html_text.extract(df.limit(0)).count() == 0
 
