@@ -158,6 +158,43 @@ def test_harmless_parts_excuse_no_secret(spark):
     assert all(masked[i] == "[SECRET]" for i in range(len(keys)))
 
 
+def test_each_class_is_reported(spark):
+    """Every class has a limit that its strings reach, and plain strings of it that stay below."""
+    high = {"digits": "01234567899876543210", "hex": "0123456789abcdef0123", "lower": "qwertyuiopasdfghjklzxcvbnm", "upper": "ZMXNCBVLAKSJDHFGQPWOEI",
+            "letters": "qWErtYuIOpaSDfGhjKLz", "mixed": "a1B2c3D4e5F6g7H8i9J0"}
+    low = {"digits": "11112222333344445555", "hex": "00000000aaaa0000aaaabbbb", "lower": "donaudampfschifffahrtsgesellschaft", "upper": "AAAABBBBAAAACCCCAAAA",
+           "letters": "aaaaBBBBaaaaBBBBcccc", "mixed": "aaaa1111aaaa1111bbbb"}
+    assert list(high) == [name for name, *_ in secrets.CLASSES]
+    for s in high.values():
+        assert next(n for n, p, _ in secrets.CLASSES if re.search(p, s)) == next(n for n, x in high.items() if x == s)
+    df = spark.createDataFrame(list(enumerate([*high.values(), *low.values()])), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_entropy"] for r in secrets.scan(df).collect()}
+    assert [found[i] for i in range(6)] == [1] * 6 and [found[i] for i in range(6, 12)] == [0] * 6
+
+
+def test_a_text_with_many_matches(spark):
+    rng = random.Random(6)
+    words = [f"{rng.getrandbits(128):032x}" if rng.random() < 0.8 else f"é{n}" for n in range(12_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    assert got[1]["spans"] == joined(sorted(base_spans(text) + random_spans(text))) and got[2]["spans"] == ""
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert masked[1] == " ".join("[SECRET]" if len(w) == 32 else w for w in words)
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    text = "x" * 5000 + f" token={HEXES}/AKIA{'B2' * 8}q, secret=token=abcdefgh1 password: passwd=ab12cd34 " + "é" * 9000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = sorted((s, e) for s, _, e in base_spans(text) + random_spans(text))
+    out, pos = [], 0
+    for start, end in spans:
+        if start >= pos:
+            out += [text[pos:start], "[SECRET]"]
+        pos = max(pos, end)
+    assert secrets.redact(df).first()["text"] == "".join(out) + text[pos:]
+
+
 def test_redaction(spark):
     text = f"é token={HEXES} and AKIA{'B2' * 8}."
     df = spark.createDataFrame([(1, text, len(text), "a"), (2, None, 0, "b"), (3, "clean", 5, "c")], "doc_id long, text string, n_chars long, _base string")
