@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Method: each vector is described by its NEAREST nearest reference points (pivots) in order.
-Inverted lists from pivots to vectors retrieve candidates; two vectors are compared if they
-share at least SHARED of these pivots, in the list of the first pivot they share only, and each
-such pair is verified by its cosine in double precision.
+Inverted lists from pivots to vectors retrieve candidates: within a list the pivots that two
+vectors share are counted, those that share at least SHARED are candidates, and only these are
+verified by their cosine in double precision.  A pair is a candidate in the list of the first
+pivot it shares only.
 
 Pivots are chosen farthest first from a bounded sample of the vectors, so that they do not crowd
 inside a large group of near vectors, whose members would then share few of them; every vector
@@ -19,13 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.components import components
-from caseloom.llm.runtime import durable
+from caseloom.llm.runtime import attach, durable
 
 #: Pivots: one for each VECTORS_PER_PIVOT distinct vectors, within these bounds.
 VECTORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 64, 32, 2048
@@ -36,8 +37,20 @@ SAMPLED, SPACING = 4, 0.8
 BLOCK = 1024
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in column])
+def _lists(column: pa.ListArray | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """Matrix of the lists in rows, which have one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = (column if len(rows) == len(column) else column.take(pa.array(rows))).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _lengths(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(pc.list_value_length(column), dtype=np.int64)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def spread_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
@@ -82,13 +95,13 @@ def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) ->
         for batch in batches:
             near = np.zeros((len(batch), k), dtype=np.int32)
             column = batch.column("embedding")
-            for at in range(0, len(batch), 4096):
-                part = [np.asarray(v.as_py(), dtype=np.float64) for v in column[at : at + 4096]]
-                fits = [i for i, v in enumerate(part) if len(v) == base.shape[1]]
-                if fits:
-                    x = np.array([part[i] for i in fits])
-                    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ base.T
-                    near[[at + i for i in fits]] = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            fits = np.flatnonzero(_lengths(column) == base.shape[1])
+            for at in range(0, len(fits), 4096):
+                rows = fits[at : at + 4096]
+                cos = _unit(_lists(column, rows)) @ base.T
+                best = np.sort(np.argpartition(-cos, k - 1, axis=1)[:, :k], axis=1)
+                order = np.argsort(-np.take_along_axis(cos, best, axis=1), axis=1, kind="stable")
+                near[rows] = np.take_along_axis(best, order, axis=1)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(batch) + 1, dtype=np.int32) * k), pa.array(near.reshape(-1))
             )
@@ -99,61 +112,64 @@ def describe(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) ->
     )
 
 
-def _compare(pdf: pd.DataFrame, limit: float, shared: int) -> pd.DataFrame:
+def _compare(key: tuple, found: pa.Table, limit: float, shared: int) -> pa.Table:
     """Links of one list, or of two of its blocks: (rep, linked, tree) for each vector linked."""
-    pivot = int(pdf["pivot"].iloc[0])
-    one_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    sizes = pdf["embedding"].map(len)
-    out: list[pd.DataFrame] = []
-    for _, part in pdf.groupby(sizes):  # vectors of different lengths have no cosine
-        left = part if one_block else part[part["mine"] == part["i"]]
-        right = part if one_block else part[part["mine"] == part["j"]]
+    pivot, i, j = (k.as_py() for k in key[1:])
+    mine, sizes = found["mine"].to_numpy(), _lengths(found["embedding"])
+    out = []
+    for size in np.unique(sizes):  # vectors of different lengths have no cosine
+        left = np.flatnonzero((sizes == size) & (mine == i))
+        right = left if i == j else np.flatnonzero((sizes == size) & (mine == j))
         if len(left) and len(right):
-            out.append(_links(left, right, one_block, pivot, limit, shared))
-    return pd.concat(out) if out else pd.DataFrame({"rep": [], "linked": [], "tree": []}).astype("int64")
-
-
-def _links(left, right, one_block, pivot, limit, shared) -> pd.DataFrame:
-    x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    hit = x @ y.T >= limit
-    p, q = np.stack(left["pivots"]), np.stack(right["pivots"])
-    rows, cols = np.nonzero(np.triu(hit, 1) if one_block else hit)
-    # the pivots that both have: enough of them, and none before this list's one
-    both = (p[rows][:, :, None] == q[cols][:, None, :]).any(axis=2) if len(rows) else np.zeros((0, 1), bool)
-    lowest = np.where(both, p[rows], np.iinfo(np.int32).max).min(axis=1) if len(rows) else rows
-    keep = (both.sum(axis=1) >= shared) & (lowest == pivot) if len(rows) else np.zeros(0, bool)
-    rows, cols = rows[keep], cols[keep]
-    a, b = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
-    ca, cb = left["copies"].to_numpy(np.int64), right["copies"].to_numpy(np.int64)
-    ends = np.concatenate([a[rows], b[cols]])
-    weight = np.concatenate([cb[cols], ca[rows]])
-    low = np.concatenate([np.minimum(a[rows], b[cols])] * 2)
-    got = pd.DataFrame({"rep": ends, "linked": weight, "tree": low})
-    # smallest neighbour of each vector keeps a group connected only together with a forest
-    got = got.groupby("rep", as_index=False).agg({"linked": "sum", "tree": "min"})
-    return _with_forest(got, a[rows], b[cols])
-
-
-def _with_forest(got: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """tree: the smallest vector of the connected part of this block that holds rep."""
-    index = {r: i for i, r in enumerate(got["rep"].tolist())}
-    names = got["rep"].to_numpy(np.int64)
-    label = names.copy()
-    ia = np.fromiter((index[x] for x in a.tolist()), np.int64, len(a))
-    ib = np.fromiter((index[x] for x in b.tolist()), np.int64, len(b))
+            out.append(_links(found, left, right, i == j, pivot, limit, shared))
+    made = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table(dict(zip(("rep", "linked", "tree"), map(pa.array, made), strict=True)))
+
+
+def _candidates(p: np.ndarray, q: np.ndarray, one_block: bool, pivot: int, shared: int) -> np.ndarray:
+    """Which pairs share at least `shared` pivots, none of them numbered below `pivot`."""
+    names, flat = np.unique(np.concatenate([p.reshape(-1), q.reshape(-1)]), return_inverse=True)
+    has_p = np.zeros((len(p), len(names)), np.float32)
+    has_q = np.zeros((len(q), len(names)), np.float32)
+    np.add.at(has_p, (np.repeat(np.arange(len(p)), p.shape[1]), flat[: p.size]), 1)
+    has_q[np.repeat(np.arange(len(q)), q.shape[1]), flat[p.size :]] = 1
+    both = has_p @ has_q.T >= min(shared, p.shape[1])
+    lower = names < pivot
+    if lower.any():
+        both &= has_p[:, lower] @ has_q[:, lower].T == 0
+    return np.triu(both, 1) if one_block else both
+
+
+def _links(found: pa.Table, left, right, one_block, pivot, limit, shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both = _candidates(_lists(found["pivots"], left), _lists(found["pivots"], right), one_block, pivot, shared)
+    # only vectors that have a candidate are read and verified
+    r, c = np.flatnonzero(both.any(axis=1)), np.flatnonzero(both.any(axis=0))
+    left, right = left[r], right[c]
+    if not len(left):
+        return (np.zeros(0, np.int64),) * 3
+    cos = _unit(_lists(found["embedding"], left)) @ _unit(_lists(found["embedding"], right)).T
+    rows, cols = np.nonzero(both[np.ix_(r, c)] & (cos >= limit))
+    reps, copies = found["rep"].to_numpy(), found["copies"].to_numpy()
+    a, b = reps[left][rows], reps[right][cols]
+    ends = np.concatenate([a, b])
+    names, at = np.unique(ends, return_inverse=True)
+    linked = np.bincount(at, np.concatenate([copies[right][cols], copies[left][rows]]), len(names)).astype(np.int64)
+    # a forest keeps the vectors of this block connected
+    return names, linked, _smallest(names, at[: len(a)], at[len(a) :])
+
+
+def _smallest(names: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """The smallest of names (ascending) that the links ia-ib reach from each."""
+    label = np.arange(len(names))
     while len(ia):
-        low = np.minimum(label[ia], label[ib])
         before = label.copy()
+        low = np.minimum(label[ia], label[ib])
         np.minimum.at(label, ia, low)
         np.minimum.at(label, ib, low)
-        # follow the label of the vector that gives it
-        label = np.minimum(label, label[np.searchsorted(names, label)])
+        label = label[label]
         if (label == before).all():
             break
-    got["tree"] = label
-    return got
+    return names[label]
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.93, shared: int = SHARED) -> DataFrame:
@@ -164,9 +180,10 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, shared: int = SHARE
     and is kept, as its own component.  Repeated rows and equal vectors are each counted; an
     empty table gives no row; other columns are not read.
     """
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(
         vectors["vec_id"].cast("long").alias("vec_id"),
-        vectors["embedding"].cast("array<double>").alias("embedding"),
+        vectors["embedding"].cast(kind).alias("embedding"),
         vectors["label"].alias("label"),
     )
     finite = F.forall(
@@ -198,22 +215,23 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, shared: int = SHARE
         )
     )
     found = durable(
-        dealt.groupBy("label", "pivot", "i", "j").applyInPandas(
-            lambda pdf: _compare(pdf, limit, shared), "rep long, linked long, tree long"
+        dealt.groupBy("label", "pivot", "i", "j").applyInArrow(
+            lambda key, found: _compare(key, found, limit, shared), "rep long, linked long, tree long"
         )
     )
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("tree").alias("b")))
-    labelled = (
+    labelled = durable(
         classes.join(linked, "rep", "left")
         .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(
-            "label", "embedding",
+            "label", "embedding", "copies",
             (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component", "rep").alias("component"),
         )
     )
-    good = keyed.where("usable").join(labelled, ["label", "embedding"]).select(
+    # copies of one vector may be any share of the rows
+    good = attach(keyed.where("usable"), labelled, ["label", "embedding"]).select(
         "vec_id", "n_links", F.col("component").alias("component_id")
     )
     rest = keyed.where("not usable").select(

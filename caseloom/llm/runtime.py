@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only below this number of rows; beyond it, a shuffle join is used.
 BROADCAST_ROWS = 100_000
+#: A key is heavy if it holds more than one of so many shares of a partition's rows.
+HEAVY_SHARE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,5 +53,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def attach(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str = "copies", how: str = "inner") -> DataFrame:
+    """rows joined with classes, which have one row for each value of keys and the number of rows
+    of that value in `copies`; how: inner or left.
+
+    Values that hold more than a small share of the rows are fewer than four times the number of
+    partitions, whatever the size of the table: they are broadcast, so their rows stay where they
+    are.  Only the others are dealt by their keys, and none of these is heavy.  Both tables are
+    read twice where there are heavy values and should be kept ones.
+    """
+    total = classes.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    bound = total // (HEAVY_SHARE * partitions(rows.sparkSession)) + 1
+    heavy = classes.where(F.col(copies) > bound)
+    if heavy.isEmpty():
+        return rows.join(classes, keys, how)
+    few = F.broadcast(heavy)  # fewer than HEAVY_SHARE * partitions rows
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(classes.where(F.col(copies) <= bound), keys, how))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
