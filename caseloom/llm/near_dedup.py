@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import textcore
 from caseloom.llm.components import components
-from caseloom.llm.runtime import durable, partitions
+from caseloom.llm.runtime import attach, durable
 
 WIDTH = 5
 #: Registers of a sketch, in bands of ROWS: two sets of similarity 0.8 meet in none of the 42
@@ -199,8 +200,10 @@ def estimate_column(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
     return F.pandas_udf(_estimate, "double")(a, b, n_a, n_b)
 
 
-def _as_percent(limit: float) -> int:
-    return round(limit * 100)
+def _ratio(limit: float) -> tuple[int, int]:
+    """limit as a fraction of whole numbers: 0.855 is 171/200, not 0.86."""
+    exact = Fraction(str(limit))
+    return exact.numerator, exact.denominator
 
 
 def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFrame:
@@ -241,13 +244,13 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
         )
 
     lowest = _margin(limit)
-    percent = _as_percent(limit)
+    up, down = _ratio(limit)
     candidates = durable(
         pairs.union(starred)
         .distinct()
         .join(side("a"), "a")
         .join(side("b"), "b")
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .where(down * F.least("n_a", "n_b") >= up * F.greatest("n_a", "n_b"))
         .withColumn("estimate", estimate_column(F.col("r_a"), F.col("r_b"), F.col("n_a"), F.col("n_b")))
         .where(F.col("estimate") >= lowest)
         .select("a", "b", "n_a", "n_b"),
@@ -269,7 +272,7 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
     shared = F.size(F.array_intersect("s_a", "s_b"))
     links = durable(
         candidates.join(a, "a").join(b, "b").withColumn("both", shared)
-        .where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
+        .where(down * F.col("both") >= up * (F.col("n_a") + F.col("n_b") - F.col("both")))
         .select("a", "b")
         .distinct(),
         2,
@@ -311,7 +314,7 @@ def _block_links(rest: DataFrame, light: DataFrame, sets: DataFrame, limit: floa
     Members are dealt into size classes (log of the set size, one class spanning the limit) and
     within them by hash into blocks; a block meets the blocks of its own and of the next class.
     """
-    percent = _as_percent(limit)
+    ratio = _ratio(limit)
     lowest = _margin(limit)
     rows = rest.join(light, "rep").withColumn(
         "cls", F.floor(F.log(F.col("n_shingles").cast("double")) / -math.log(limit * 0.999)).cast("int")
@@ -365,12 +368,12 @@ def _block_links(rest: DataFrame, light: DataFrame, sets: DataFrame, limit: floa
             right = pdf[pdf["mine"] == pdf["j"]]
         else:
             left, right = pdf[pdf["role"] == 1], pdf[pdf["role"] == 2]
-        return _forest(left, right, percent, lowest)
+        return _forest(left, right, ratio, lowest)
 
     return dealt.groupBy("grp", "lo", "i", "hi", "j").applyInPandas(compare, "a long, b long")
 
 
-def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, lowest: float) -> pd.DataFrame:
+def _forest(left: pd.DataFrame, right: pd.DataFrame, ratio: tuple[int, int], lowest: float) -> pd.DataFrame:
     """Links that join different components, each only where it joins two trees so far."""
     parent: dict[int, int] = {}
 
@@ -388,7 +391,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, lowest: float
         for rep, n, comp, mine, own in zip(
             left["rep"], left["n_shingles"], left["component"], left["registers"], left["shingles"], strict=True
         ):
-            fits = (r_comp != comp) & (100 * np.minimum(r_n, n) >= percent * np.maximum(r_n, n))
+            fits = (r_comp != comp) & (ratio[1] * np.minimum(r_n, n) >= ratio[0] * np.maximum(r_n, n))
             if not fits.any():
                 continue
             at = np.flatnonzero(fits)
@@ -401,7 +404,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, lowest: float
                 if root(int(comp)) == root(other):
                     continue
                 both = len(np.intersect1d(own, r_sets[k], assume_unique=True))
-                if 100 * both >= percent * (n + r_n[k] - both):
+                if ratio[1] * both >= ratio[0] * (n + r_n[k] - both):
                     parent[root(int(comp))] = root(other)
                     found.append((int(rep), int(r_id[k])))
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -410,7 +413,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, lowest: float
 def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs with an id.
 
-    Links join documents whose shingle sets have 100*|both| >= 100*limit*|either|.  A text with
+    Links join documents whose shingle sets have |both| >= limit * |either|, compared exactly.  A text with
     fewer than five words has one shingle of all its words; a null text or one without words
     has none, links with nothing and is kept.  Rows that share an id are one document: its links
     are those of all its texts, and each row gets its component.  Rows with a null id are kept with a null component and never linked.
@@ -418,27 +421,22 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """
     sketches = durable(sketch_documents(docs))
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(
-        filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), 4
-    )
+    keys = ["set_a", "set_b", "n_shingles"]
+    classes = durable(filled.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), 4)
     distinct = filled.join(
         classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi"
     ).dropDuplicates(["doc_id", "set_a", "set_b"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers", "bands")
     links = similar_links(durable(distinct), docs, limit)
     found = components(links).select(F.col("node").alias("rep"), "component")
     labelled = durable(
-        classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), 4
-    )
-    out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        labelled.select("set_a", "set_b", F.col("n_shingles").alias("n_set"), "component"),
-        (F.col("n_shingles") == F.col("n_set"))
-        & sketches["set_a"].eqNullSafe(labelled["set_a"])
-        & sketches["set_b"].eqNullSafe(labelled["set_b"]),
-        "left",
+        classes.join(found, "rep", "left")
+        .select(*keys, "copies", F.coalesce("component", "rep").alias("component")), 4
     )
+    # copies of one text may be any share of the rows; sets without shingles have no class
+    out = attach(sketches.select("doc_id", *keys), labelled, keys, how="left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
-        sketches["doc_id"],
+        "doc_id",
         "n_shingles",
-        F.when(sketches["doc_id"].isNotNull(), F.coalesce(component, sketches["doc_id"])).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id"))).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -53,6 +53,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of df as the planner knows it, from the sizes of files and tables; reads nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0  # unknown sizes are given as the largest number
+
+
 def attach(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str = "copies", how: str = "inner") -> DataFrame:
     """rows joined with classes, which have one row for each value of keys and the number of rows
     of that value in `copies`; how: inner or left.

@@ -16,18 +16,22 @@ end of the range before it, which keeps the order whole across ranges.
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseloom.llm.runtime import durable, partitions
+from caseloom.llm.runtime import attach, durable, partitions, planned_bytes
 
 BITS = 128
 SPACES = r"[\x20\x09-\x0D]+"
 #: Cut points are looked up in two steps of this many.
 FAN = 64
+#: Ranges hold about so many bytes of the table as stored; at most so many ranges, whose cut points
+#: travel with the plan.  Beyond that they grow, and their sorts spill to disk.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 14
 
 
 def term_hashes(text: Column) -> Column:
@@ -89,8 +93,9 @@ def _range_of(cuts: list[int]) -> Column:
     if not cuts:
         return F.lit(0)
     fine = [cuts[i : i + FAN] for i in range(0, len(cuts), FAN)]
-    coarse = F.array(*[F.lit(c[0]).cast("long") for c in fine])
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in c]) for c in fine])
+    # constant arrays, folded once by the optimizer
+    coarse = F.from_json(F.lit(json.dumps([c[0] for c in fine])), "array<bigint>")
+    table = F.from_json(F.lit(json.dumps(fine)), "array<array<bigint>>")
     step = F.size(F.filter(coarse, lambda c: c <= F.col("doc_id")))
     inner = F.size(F.filter(F.element_at(table, F.greatest(step, F.lit(1))), lambda c: c <= F.col("doc_id")))
     return F.when(step > 0, (step - 1) * FAN + inner).otherwise(F.lit(0))
@@ -107,7 +112,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         docs["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("body"),
     )
-    ranges = ranges or 4 * partitions(spark)
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(4 * partitions(spark), planned_bytes(base) // RANGE_BYTES))
     probs = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(base.approxQuantile("doc_id", probs, 0.2 / ranges))) if probs else []
     dealt = base.withColumn("rng", _range_of([int(c) for c in cuts]))
@@ -190,8 +196,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def within_radius(prints: DataFrame, radius: int = 3, kept_blocks: int = 2) -> DataFrame:
-    """(f0, f1, n_near): for each distinct fingerprint the rows whose fingerprints lie within
-    radius bits of it, itself counted with all its copies.
+    """(f0, f1, copies, n_near): for each distinct fingerprint its rows, and the rows whose
+    fingerprints lie within radius bits of it, its own among them.
 
     Permuted block tables: the bits are cut into radius + kept_blocks blocks; two fingerprints
     within radius agree in at least kept_blocks of them.  Each choice of kept_blocks blocks is
@@ -228,16 +234,17 @@ def within_radius(prints: DataFrame, radius: int = 3, kept_blocks: int = 2) -> D
     )
     extra = pairs.groupBy(F.col("a_f0").alias("f0"), F.col("a_f1").alias("f1")).agg(F.sum("copies").alias("others"))
     return classes.join(extra, ["f0", "f1"], "left").select(
-        "f0", "f1", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_near")
+        "f0", "f1", "copies", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_near")
     )
 
 
 def fingerprint_table(docs: DataFrame, radius: int = 3) -> DataFrame:
     """fingerprints() with n_near, the number of other documents within radius bits."""
     prints = durable(fingerprints(docs))
-    near = within_radius(prints.select("f0", "f1"), radius)
+    near = durable(within_radius(prints.select("f0", "f1"), radius))
+    # copies of one text, and all empty texts, have one fingerprint: it may be that of any share of the rows
     return (
-        prints.join(near, ["f0", "f1"])
+        attach(prints, near, ["f0", "f1"])
         .withColumn("n_near", F.col("n_near") - 1)
-        .drop("f0", "f1")
+        .drop("f0", "f1", "copies")
     )

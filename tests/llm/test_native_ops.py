@@ -76,6 +76,26 @@ def test_within_radius_equals_brute_force(spark):
         assert got[signed(p >> 64), signed(p & (2**64 - 1))] == sum(bin(p ^ q).count("1") <= 3 for q in prints)
 
 
+def test_copies_of_one_text_stay_where_they_are(spark):
+    """Two thirds of the rows have one of two fingerprints: both are joined by a broadcast."""
+    rows = [(i, "the same text in many rows" if i % 3 == 0 else None if i % 3 == 1 else f"text {i} of its own words {i * 7}") for i in range(900)]
+    prints = simhash.fingerprint_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r["n_near"] for r in prints.collect()}
+    assert len(got) == 900 and all(got[i] == 299 for i in range(900) if i % 3 < 2)
+    plan = prints._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2
+
+
+def test_attach_equals_a_join(spark):
+    from caseloom.llm.runtime import attach
+
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 9}") for i in range(500)] + [(-1, None), (-2, "none")], "i long, k string")
+    classes = rows.where("k != 'none'").groupBy("k").agg(F.count("*").alias("copies"), F.min("i").alias("first"))
+    for how in ("inner", "left"):
+        want = rows.join(classes, ["k"], how)
+        assert attach(rows, classes, ["k"], how=how).exceptAll(want).count() == 0 and want.exceptAll(attach(rows, classes, ["k"], how=how)).count() == 0
+
+
 def test_fingerprints_of_few_rows(spark):
     one = spark.createDataFrame([(1, "alone in the table")], "doc_id long, text string")
     r = simhash.fingerprints(one).first()

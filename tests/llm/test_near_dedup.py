@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def expected(rows, percent):
+def expected(rows, limit):
     sets = {}
     for i, t in rows:
         sets.setdefault(i, []).append(shingle_set(t))
@@ -33,7 +34,7 @@ def expected(rows, percent):
     for n, (i, a) in enumerate(flat):
         for j, b in flat[:n]:
             both = len(a & b)
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if both >= Fraction(limit) * (len(a) + len(b) - both):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in parent}
@@ -62,13 +63,13 @@ def rows():
     return found + [(5, found[5][1]), (6, "an id with a second and quite different text")]
 
 
-@pytest.mark.parametrize("limit", [0.8, 0.85])
+@pytest.mark.parametrize("limit", [0.8, 0.85, 0.855])
 def test_equals_brute_force(spark, rows, limit):
     schema = "doc_id long, text string, n_shingles string, component_id int"
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], schema).repartition(5)
     got = near_dedup.near_duplicates(df, limit).collect()
     assert len(got) == len(rows)
-    want = expected(rows, round(100 * limit))
+    want = expected(rows, str(limit))
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     sizes = {(r["doc_id"], r["n_shingles"]) for r in got}
