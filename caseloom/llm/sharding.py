@@ -3,15 +3,23 @@
 Method: size-tiered compaction.  Arrivals are appended as small immutable files; files whose
 sizes fall into one tier are merged FAN_IN at a time until they reach the target size, and a file
 above the target is split before it is committed, whatever the splits of the input; each step
-commits a new version of a manifest, which lists the files that make up the table.  A version is
-written to a temporary file and renamed to its number: the rename fails if another writer has
-taken that number, so commits are atomic and readers see whole versions only.  A failed step
-leaves files that no manifest names.
+commits a new version of a manifest, which tells the files that make up the table.
+
+A version's file holds the files added and removed since the version before; every SNAPSHOT_EVERY
+versions a file with all of them is written beside it, so that a commit costs what it changes.  A
+version is written to a temporary file that gets the version's name only if that name is free: by
+a hard link on local file systems, by rename on others.  HDFS and file systems with its rules
+refuse to rename onto an existing file, so of several writers one commits and readers see whole
+versions only; object stores that overwrite are safe for one writer at a time.  A failed step
+leaves files that no manifest names, which vacuum() removes when they are old enough that no
+writer can be about to commit them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
@@ -25,6 +33,9 @@ from caseloom.llm.runtime import scratch_path
 MIB = 1 << 20
 #: Arrivals in which a table is appended; each reads the whole table once.
 ARRIVALS = 8
+SNAPSHOT_EVERY = 16
+#: vacuum() keeps the files of so many versions, and files younger than so many seconds.
+KEPT_VERSIONS, LEAST_AGE = 3, 24 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -78,6 +89,7 @@ class ShardedTable:
         self.policy = policy or Policy()
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._known: dict[int, list[Shard]] = {}  # the version read or written last
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(name)
@@ -87,38 +99,75 @@ class ShardedTable:
 
     # --- manifest -----------------------------------------------------------------------
 
-    def version(self) -> int:
-        """Number of the last committed version; 0 for a new table."""
-        folder = self._path(f"{self.root}/manifest")
-        fs = self._fs()
+    def _numbers(self, kind: str) -> list[int]:
+        """Numbers of the versions (v) or snapshots (s) in the manifest's folder, ascending."""
+        folder, fs = self._path(f"{self.root}/manifest"), self._fs()
         if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
-
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.version() if version is None else version
-        if not version:
             return []
-        stream = self._fs().open(self._path(f"{self.root}/manifest/v{version:010d}.json"))
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n[1:-5]) for n in names if n.startswith(kind) and n.endswith(".json"))
+
+    def _name(self, kind: str, number: int) -> str:
+        return f"{self.root}/manifest/{kind}{number:010d}.json"
+
+    def _load(self, kind: str, number: int) -> dict:
+        stream = self._fs().open(self._path(self._name(kind, number)))
         try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
 
-    def commit(self, shards: list[Shard], read_version: int) -> int:
-        """Write version read_version + 1; RuntimeError if another writer has."""
-        fs, number = self._fs(), read_version + 1
-        body = json.dumps({"version": number, "shards": [asdict(s) for s in shards]})
+    def _publish(self, kind: str, number: int, body: dict) -> bool:
+        """Write a file of the manifest; False if there is one of that name."""
+        fs = self._fs()
         temporary = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
-        final = self._path(f"{self.root}/manifest/v{number:010d}.json")
+        final = self._path(self._name(kind, number))
         out = fs.create(temporary, True)
-        out.write(bytearray(body.encode()))
+        out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(temporary, final):
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+                made = True
+            except FileExistsError:
+                made = False
             fs.delete(temporary, False)
+            return made
+        made = not fs.exists(final) and fs.rename(temporary, final)
+        if not made:
+            fs.delete(temporary, False)
+        return made
+
+    def version(self) -> int:
+        """Number of the last committed version; 0 for a new table."""
+        return max(self._numbers("v"), default=0)
+
+    def shards(self, version: int | None = None) -> list[Shard]:
+        version = self.version() if version is None else version
+        if version in self._known:
+            return list(self._known[version])
+        start = max((n for n in self._numbers("s") if n <= version), default=0)
+        listed = {s["path"]: Shard(**s) for s in self._load("s", start)["shards"]} if start else {}
+        for n in range(start + 1, version + 1):
+            change = self._load("v", n)
+            for path in change["removed"]:
+                del listed[path]
+            listed |= {s["path"]: Shard(**s) for s in change["added"]}
+        self._known = {version: list(listed.values())}
+        return list(self._known[version])
+
+    def commit(self, shards: list[Shard], read_version: int) -> int:
+        """Make shards version read_version + 1; RuntimeError if another writer has made that."""
+        before, number = {s.path for s in self.shards(read_version)}, read_version + 1
+        after = {s.path for s in shards}
+        change = {
+            "version": number, "added": [asdict(s) for s in shards if s.path not in before], "removed": sorted(before - after),
+        }
+        if not self._publish("v", number, change):
             raise RuntimeError(f"version {number} was committed by another writer")
+        self._known = {number: list(shards)}
+        if number % SNAPSHOT_EVERY == 0:
+            self._publish("s", number, {"version": number, "shards": [asdict(s) for s in shards]})
         return number
 
     # --- data ---------------------------------------------------------------------------
@@ -177,16 +226,30 @@ class ShardedTable:
             rounds += 1
         return rounds
 
-    def vacuum(self) -> int:
-        """Delete data files that the last version does not name; the number deleted."""
-        keep = {s.path for s in self.shards()}
+    def vacuum(self, versions: int = KEPT_VERSIONS, least_age: float = LEAST_AGE) -> int:
+        """Delete data files that none of the last `versions` versions names; the number deleted.
+
+        Files younger than least_age seconds stay: a writer that has not committed yet may have
+        written them.  least_age must exceed the longest write; 0 only where there is one writer.
+        """
+        last = self.version()
+        kept = [v for v in self._numbers("v") if v > last - versions]
+        keep = {s.path for v in kept for s in self.shards(v)}
+        before = (time.time() - least_age) * 1000
         fs, gone = self._fs(), 0
         folder = self._path(f"{self.root}/data")
         for sub in fs.listStatus(folder) if fs.exists(folder) else []:
             for f in fs.listStatus(sub.getPath()):
-                if f.getPath().getName().startswith("part-") and f.getPath().toString() not in keep:
+                old = f.getModificationTime() <= before
+                if old and f.getPath().getName().startswith("part-") and f.getPath().toString() not in keep:
                     fs.delete(f.getPath(), False)
                     gone += 1
+        # versions that can be read no more, up to the snapshot that the kept ones start from
+        base = max((n for n in self._numbers("s") if kept and n <= kept[0]), default=0)
+        for kind in ("v", "s"):
+            for n in self._numbers(kind):
+                if n < base:
+                    fs.delete(self._path(self._name(kind, n)), False)
         return gone
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -220,7 +283,7 @@ def shard_documents(docs: DataFrame, root: str | None = None, policy: Policy | N
             size = sum(s.size for s in store.shards())
             most_rows = max(1, store.read().count() * store.policy.base // size) if size else 0
         store.compact_fully()
-        store.vacuum()
+        store.vacuum(versions=1, least_age=0)  # this table has no other writer or reader
     version = store.version()
     about = spark.createDataFrame(
         [(i, s.tier, s.generation, s.size) for i, s in enumerate(store.shards(version))],

@@ -242,12 +242,46 @@ def test_sharded_table_round_trip(spark, tmp_path):
     assert len(after) < len(before) == 20
     assert store.read().drop("_shard").exceptAll(df).count() == 0 and store.read().count() == len(rows)
     assert store.read(old).count() == len(rows)  # the old version is whole until it is vacuumed
-    assert store.vacuum() > 0 and store.read().count() == len(rows)
+    assert store.vacuum(versions=1) == 0  # all files are young
+    assert store.vacuum(versions=1, least_age=0) > 0 and store.read().count() == len(rows)
     with pytest.raises(RuntimeError):
         store.commit([], old - 1)
     assert store.shards() == after
 
 
+def test_vacuum_spares_uncommitted_files_and_kept_versions(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(60)], "doc_id long, text string")
+    writer, other = (sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL) for _ in range(2))
+    writer.append(df.where("doc_id < 20"))
+    version = writer.version()
+    written = writer._write(df.where("doc_id >= 40"), 0)  # not committed yet
+    other.append(df.where("doc_id >= 20 and doc_id < 40"))
+    other.compact_fully()
+    other.vacuum(versions=1)
+    with pytest.raises(RuntimeError):
+        writer.commit([*writer.shards(version), *written], version)
+    now = writer.version()
+    writer.commit([*writer.shards(now), *written], now)
+    assert sorted(r["doc_id"] for r in other.read().collect()) == list(range(60))
+    assert other.read(now).count() == 40 and other.read(version).count() == 20
+    other.vacuum(versions=2, least_age=0)
+    assert other.read().count() == 60 and other.read(now).count() == 40
+
+
+def test_many_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "SNAPSHOT_EVERY", 3)
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string").coalesce(1)
+    store = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL)
+    for k in range(8):
+        store.append(df)
+        again = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL)
+        assert len(again.shards()) == k + 1 and again.shards() == store.shards()
+    assert store._numbers("s") == [3, 6] and len(again.shards(4)) == 4
+    store.vacuum(versions=2, least_age=0)
+    again = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL)
+    assert store._numbers("v") == [6, 7, 8] and len(again.shards(7)) == 7 and again.read().count() == 8
+
+
 def test_shard_documents(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string").repartition(6)
     got = sharding.shard_documents(df, policy=SMALL, arrivals=3).collect()
