@@ -41,9 +41,13 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+#: Target shares of sources, to be scaled to 1; sources that are not listed get the smallest one.
+SOURCE_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs).drop("mix_source")
+    """All documents, whole, in the mixed order."""
+    return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, in_order=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,78 @@ def test_every_source_stays_within_one_block():
                 assert abs(done[x] - base[x] - Fraction(parts[x] * slot, total)) < 1
 
 
+def plain_schedule(blocks, parts):
+    """(source, block, phase) by slot: a second scheduler that looks at every source in every slot."""
+    left = {s: n for s, n in blocks.items() if n}
+    done, out, phase = dict.fromkeys(left, 0), [], 0
+    while left:
+        total, base, slot = sum(parts[s] for s in left), dict(done), 0
+        while all(left.values()):
+            best = None
+            for s in sorted(left):
+                j = done[s] - base[s] + 1
+                if (j - 1) * total // parts[s] <= slot:
+                    rank = (-(-j * total // parts[s]), -parts[s])
+                    best = min(best or (rank, s), (rank, s))
+            s = best[1]
+            out.append((s, done[s], phase))
+            done[s] += 1
+            left[s] -= 1
+            slot += 1
+        left = {s: n for s, n in left.items() if n}
+        phase += 1
+    return out
+
+
+def test_periods_equal_a_plain_scheduler(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(mixing, "LEAST_PARTS", 1)
+    for most in (7, 40, 1000):  # the last has periods longer than any phase
+        monkeypatch.setattr(mixing, "MOST_PARTS", most)
+        for _ in range(40):
+            blocks = {f"s{i}": rng.randint(0, 90) for i in range(rng.randint(1, 7))}
+            weights = {s: rng.random() + 0.01 for s in blocks}
+            assert mixing.edf_order(blocks, weights) == plain_schedule(blocks, mixing.integer_weights(weights))
+
+
+@pytest.mark.parametrize("most", [9, 1 << 16])
+def test_mix_equals_a_plain_scheduler(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "LEAST_PARTS", 1)
+    monkeypatch.setattr(mixing, "MOST_PARTS", most)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
+    sizes, weights, block = {"a": 700, "b": 333, "c": 41, "": 120}, {"a": 2.0, "b": 3.0, "c": 1.0}, 4
+    rows = [(n, f"text {n}", s or None) for n, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block).collect()
+    order = plain_schedule({s: -(-n // block) for s, n in sizes.items()}, mixing.integer_weights({**weights, "": 1.0}))
+    at, want = 0, {}
+    for slot, (s, b, phase) in enumerate(order):
+        want[s, b] = (slot, phase, at)
+        at += min(block, sizes[s] - b * block)
+    seen = {}
+    for r in got:
+        assert (r["mix_slot"], r["mix_phase"]) == want[r["mix_source"], r["mix_block"]][:2]
+        seen.setdefault((r["mix_source"], r["mix_block"]), []).append(r["mix_position"])
+    assert all(sorted(p) == list(range(want[k][2], want[k][2] + len(p))) for k, p in seen.items()) and len(seen) == len(order)
+
+
+def test_blocks_do_not_grow_with_the_table():
+    """Two thousand million blocks: the plan has one period a phase."""
+    blocks = {f"s{i}": 10**8 + i * 10**7 for i in range(20)}
+    phases = mixing.schedule(blocks, dict.fromkeys(blocks, 1.0) | {"s0": 7.5})
+    assert sum(p.slots for p in phases) == sum(blocks.values()) and sum(len(p.period) for p in phases) <= 2 * mixing.PLAN_SLOTS
+    assert all(a.start + a.slots == b.start for a, b in zip(phases, phases[1:], strict=False))
+
+
+def test_many_sources_are_grouped(spark):
+    rows = [(i, f"t{i}", f"s{min(i % 60, i % 7)}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in (None, {"s0": 3.0, "s9": 1.0}):
+        got = mixing.mix(df, weights, block_docs=4, most_sources=5, in_order=True).collect()
+        assert [r["mix_position"] for r in got] == list(range(1200)) and {r["doc_id"] for r in got} == set(range(1200))
+        assert sum(not r["mix_source"].startswith("s") for r in got) > 0
+        assert len({r["mix_source"] for r in got if r["mix_source"].startswith("s")}) == 5
+
+
 def test_mix_keeps_all_rows(spark):
     rows = [(i, f"t{i}", "big" if i % 3 else f"s{i % 12}", i) for i in range(900)] + [(7, "t7", "big", 7), (None, None, None, None), (None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot long")
