@@ -1,7 +1,9 @@
 """Toxicity of whole texts by a convolutional classifier trained in numpy.
 
 Words are lower-cased runs of letters and digits.  Each word has the sum of two hashed
-embeddings, of the word and of its first bytes; filters of widths 1, 2 and 3 slide over them, the
+embeddings, of the word and of its first bytes, each from a table of 2**BUCKET_BITS buckets; words
+of one bucket share its embedding, and buckets met in fewer than LEAST_DOCS training texts have
+none (a zero).  Filters of widths 1, 2 and 3 slide over them, the
 maximum of each filter over the whole text goes through a rectifier into a logistic output.
 Thresholds are calibrated for each language on a part of the training rows that the weights have
 not seen.  The language is that whose common words are most frequent in the text: it is read
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 from caseloom.llm import textcore
 from caseloom.llm.runtime import durable
 
-#: Bounds of the training sample and of the vocabulary.
+#: Bounds of the training sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 48 << 20
-LEAST_DOCS, MOST_WORDS = 3, 60_000
+#: Buckets of a hash table, and the texts that a bucket must occur in to be trained.
+BUCKET_BITS, LEAST_DOCS = 20, 3
 PREFIX = 6
 DIM, FILTERS, WIDTHS = 8, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.02, 1e-4
@@ -43,50 +46,15 @@ COMMON = {
 }
 
 
-def _table(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(hashes)
-
-
-def _slots(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Row of each hash in the embedding: 1 + its place in table, 0 if it has none."""
-    if not len(table) or not len(hashes):
-        return np.zeros(len(hashes), dtype=np.int64)
-    at = np.searchsorted(table, hashes)
-    at[at == len(table)] = 0
-    return np.where(table[at] == hashes, at + 1, 0)
-
-
-class HashSlots:
-    """The same by an open table: one look-up for nearly all words."""
-
-    BITS = 20
-
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
-        self.first = np.zeros((1 << self.BITS) + 1, dtype=np.int32)
-        top = (table >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self.first[1:] = np.cumsum(np.bincount(top, minlength=1 << self.BITS))
-        self.depth = int(np.diff(self.first).max(initial=0))
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), dtype=np.int32)
-        if not len(self.table):
-            return out
-        top = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
-        start, stop = self.first[top], self.first[top + 1]
-        for k in range(self.depth):
-            at = start + k
-            rows = np.flatnonzero(at < stop)
-            hit = rows[self.table[at[rows]] == hashes[rows]]
-            out[hit] = at[hit] + 1
-        return out
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    words: np.ndarray
-    heads: np.ndarray
-    embed: np.ndarray  # rows of words, then rows of heads; row 0 is zero
+    words: np.ndarray  # row of each bucket of words in embed, 0 for none
+    heads: np.ndarray  # the same for first bytes
+    embed: np.ndarray  # row 0 is zero
     kernels: list[np.ndarray]  # for each width: (width, DIM, FILTERS)
     bias: list[np.ndarray]
     out: np.ndarray
@@ -100,22 +68,24 @@ class Model:
         """embed @ kernel for each width and place: a convolution is then a sum of look-ups."""
         return [[np.ascontiguousarray(self.embed @ k[j]).astype(np.float32) for j in range(len(k))] for k in self.kernels]
 
-    def pooled(self, tables, w: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Maximum of each filter over each text: (texts, all filters)."""
+    def pooled(self, tables, w: np.ndarray, h: np.ndarray, offsets: np.ndarray, places: int | None = None) -> np.ndarray:
+        """Maximum of each filter over each text: (texts, all filters).
+
+        places: of a part of a text, so many places at which a filter starts; the words after them
+        belong to the filters of the last ones only.
+        """
         n = np.diff(offsets)
         out = np.zeros((len(n), FILTERS * len(WIDTHS)), dtype=np.float32)
         owner = np.flatnonzero(n > 0)
         if not len(owner):
             return out
-        head = h + len(self.words)
-        head[h == 0] = 0
         starts = offsets[:-1][owner]
         left = np.repeat(offsets[1:][owner], n[owner]) - np.arange(offsets[-1])
         for i, parts in enumerate(tables):
-            z = parts[0][w] + parts[0][head]
+            z = parts[0][w] + parts[0][h]
             for j in range(1, len(parts)):
-                z[: len(z) - j] += np.where((left > j)[: len(z) - j, None], parts[j][w[j:]] + parts[j][head[j:]], 0)
-            out[owner, i * FILTERS : (i + 1) * FILTERS] = np.maximum.reduceat(z, starts, axis=0)
+                z[: len(z) - j] += np.where((left > j)[: len(z) - j, None], parts[j][w[j:]] + parts[j][h[j:]], 0)
+            out[owner, i * FILTERS : (i + 1) * FILTERS] = np.maximum.reduceat(z[:places], starts, axis=0)
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
@@ -135,50 +105,48 @@ def _encode(texts: list[str]) -> list[bytes]:
 
 
 def _hash_words(words: str) -> np.ndarray:
-    return _table(textcore.word_hashes(words.encode(), alnum=True)[0])
+    return np.unique(textcore.word_hashes(words.encode(), alnum=True)[0])
 
 
 # --- fitting ----------------------------------------------------------------------------
 
 
-def _often(per_text: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in LEAST_DOCS texts or more with their log-odds of the label, the MOST_WORDS most
-    telling ones."""
-    if not per_text:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    seen = [np.unique(x) for x in per_text]
-    flat = np.concatenate(seen)
-    positive = np.concatenate([np.full(len(x), y) for x, y in zip(seen, labels, strict=True)]).astype(float)
-    names, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(inverse, positive, len(names))
-    ratio = np.log((pos + 0.5) / (labels.sum() + 1.0)) - np.log((count - pos + 0.5) / ((1 - labels).sum() + 1.0))
-    z = np.abs(ratio) * np.sqrt(count)
-    keep = np.flatnonzero(count >= LEAST_DOCS)
-    if len(keep) > MOST_WORDS:
-        keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MOST_WORDS]])
-    return names[keep], ratio[keep]
+def _trained(per_text: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in LEAST_DOCS texts or more, with their log-odds of the label."""
+    n, pos = (np.zeros(1 << BUCKET_BITS) for _ in range(2))
+    for found, y in zip(per_text, labels, strict=True):
+        seen = np.unique(found)
+        n[seen] += 1
+        pos[seen] += y
+    keep = np.flatnonzero(n >= LEAST_DOCS)
+    n, pos = n[keep], pos[keep]
+    ratio = np.log((pos + 0.5) / (labels.sum() + 1.0)) - np.log((n - pos + 0.5) / ((1 - labels).sum() + 1.0))
+    return keep, ratio
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model of whole texts; with one label only, one that gives every text that label."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=float)
-    words, heads = [], []
+    hashes, heads = [], []
     for _, _, w, offsets, h in textcore.batch_word_hashes(_encode(texts), PREFIX, alnum=True):
         for i in range(len(offsets) - 1):
-            words.append(w[offsets[i] : offsets[i + 1]])
-            heads.append(h[offsets[i] : offsets[i + 1]])
+            hashes.append(w[offsets[i] : offsets[i + 1]])
+            heads.append(buckets(h[offsets[i] : offsets[i + 1]]))
+    words = [buckets(x) for x in hashes]
     part = rng.permutation(len(texts))
     n_held = len(texts) // 5
     held, train = part[:n_held], part[n_held:]
-    word_table, word_odds = _often([words[i] for i in train], y[train])
-    head_table, head_odds = _often([heads[i] for i in train], y[train])
-    rows = 1 + len(word_table) + len(head_table)
-    embed = rng.normal(0, 0.02, (rows, DIM))
-    embed[0] = 0
-    # the first two dimensions start at the shrunken log-odds of word and prefix
-    embed[1 : 1 + len(word_table), 0] = np.clip(word_odds, -3, 3) / 3
-    embed[1 + len(word_table) :, 1] = np.clip(head_odds, -3, 3) / 3
+    embed = [np.zeros((1, DIM))]
+    row_of = []
+    for dim, found in enumerate((words, heads)):
+        known, odds = _trained([found[i] for i in train], y[train])
+        rows = np.zeros(1 << BUCKET_BITS, np.int32)
+        rows[known] = sum(map(len, embed)) + np.arange(len(known))
+        row_of.append(rows)
+        made = rng.normal(0, 0.02, (len(known), DIM))
+        made[:, dim] = np.clip(odds, -3, 3) / 3  # the first two dimensions start at the shrunken log-odds
+        embed.append(made)
     kernels = [rng.normal(0, 0.1, (k, DIM, FILTERS)) for k in WIDTHS]
     for k in kernels:
         k[:, 0] += 1.0 / len(k)
@@ -186,16 +154,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     bias = [np.full(FILTERS, -0.3) for _ in WIDTHS]
     out = np.full(FILTERS * len(WIDTHS), 0.3)
     common = {lang: _hash_words(w) for lang, w in COMMON.items()}
-    model = Model(word_table, head_table, embed, kernels, bias, out, -1.0, common, dict.fromkeys(COMMON, 0.0))
+    model = Model(*row_of, np.concatenate(embed), kernels, bias, out, -1.0, common, dict.fromkeys(COMMON, 0.0))
     if len(set(labels)) < 2 or len(train) < 2:
         model.out[:] = 0
         model.out_bias = 4.0 if labels and labels[0] else -4.0
         return model
-    w_slots = [_slots(word_table, x) for x in words]
-    h_slots = [_slots(head_table, x) for x in heads]
-    h_slots = [np.where(h > 0, h + len(word_table), 0) for h in h_slots]
+    w_slots = [model.words[x] for x in words]
+    h_slots = [model.heads[x] for x in heads]
     _train(model, w_slots, h_slots, y, train, rng)
-    _calibrate(model, words, w_slots, h_slots, y, held)
+    _calibrate(model, hashes, w_slots, h_slots, y, held)
     return model
 
 
@@ -348,36 +315,49 @@ def held_out(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
+class Scorer:
+    """Scores of texts by a model, whose look-up tables are made once."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.tables = model, model.tables()
+        self.limits = np.array(list(model.thresholds.values()))
+
+    def pooled(self, words: np.ndarray, heads: np.ndarray, offsets: np.ndarray, places: int | None = None) -> np.ndarray:
+        m = self.model
+        return m.pooled(self.tables, m.words[buckets(words)], m.heads[buckets(heads)], offsets, places)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        m = self.model
+        out = np.zeros(len(texts))
+        empty = m.logits(np.zeros((1, FILTERS * len(WIDTHS))))[0]
+        for first, last, words, offsets, heads in textcore.batch_word_hashes(_encode(texts), PREFIX, alnum=True):
+            if last - first == 1 and len(words) > LONG_WORDS:
+                # segments overlap by the widest filter less one, so each window of words lies in one
+                step, more = LONG_WORDS, max(WIDTHS) - 1
+                cuts = [(a, min(len(words), a + step + more)) for a in range(0, len(words), step)]
+                best = [self.pooled(words[a:b], heads[a:b], np.array([0, b - a]), step) for a, b in cuts]
+                logit = m.logits(np.max(best, axis=0))
+            else:
+                logit = np.where(np.diff(offsets) > 0, m.logits(self.pooled(words, heads, offsets)), empty)
+            logit = logit - self.limits[m.languages(words, offsets)]
+            out[first:last] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        return out
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5).
 
     A null or empty text is scored as one without words.  Columns of these names in docs are
     replaced; all rows and other columns stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the buckets
     docs = docs.drop("score", "predicted")
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        tables, word_slots, head_slots = m.tables(), HashSlots(m.words), HashSlots(m.heads)
-        limits = np.array(list(m.thresholds.values()))
+        scorer = Scorer(shared.value)
         for batch in textcore.slices(batches):
-            texts = _encode([t.as_py() or "" for t in batch.column(place).cast(pa.string())])
-            out = np.zeros(len(texts))
-            for first, last, words, offsets, heads in textcore.batch_word_hashes(texts, PREFIX, alnum=True):
-                logit = np.zeros(last - first)
-                if last - first == 1 and len(words) > LONG_WORDS:
-                    best = [
-                        m.pooled(tables, word_slots(words[a:b]), head_slots(heads[a:b]), np.array([0, b - a]))
-                        for a, b in ((a, min(len(words), a + LONG_WORDS + 2)) for a in range(0, len(words), LONG_WORDS))
-                    ]
-                    logit = m.logits(np.max(best, axis=0))
-                else:
-                    logit = m.logits(m.pooled(tables, word_slots(words), head_slots(heads), offsets))
-                    logit = np.where(np.diff(offsets) > 0, logit, m.logits(np.zeros((1, FILTERS * len(WIDTHS))))[0])
-                logit = logit - limits[m.languages(words, offsets)]
-                out[first:last] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+            out = scorer([t.as_py() or "" for t in batch.column(place).cast(pa.string())])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))],
                 [*batch.schema.names, "score", "predicted"],

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import os
 import random
 import re
@@ -375,14 +376,41 @@ def test_held_out_accuracy(spark):
     assert got[5000]["score"] == got[5001]["score"] and got[5000]["predicted"] == 0
 
 
-def test_segments_and_single_labels(monkeypatch):
-    rng = random.Random(2)
-    rows = corpus(rng, 400)
-    model = toxicity.fit([t for _, t, _, _ in rows], [y for *_, y in rows])
+def test_single_labels():
     assert toxicity.fit(["a b"], [1]).out_bias > 0 > toxicity.fit([], []).out_bias
-    words, heads = toxicity.textcore.word_hashes(rows[0][1].encode(), toxicity.PREFIX, alnum=True)
-    slots = toxicity.HashSlots(model.words)
-    assert (slots(words) == toxicity._slots(model.words, words)).all()
+
+
+def plain_score(model, text):
+    """The score of a text by loops over its words, filters and places."""
+    hashes, heads = toxicity.textcore.word_hashes(text.lower().encode(), toxicity.PREFIX, alnum=True)
+    row = lambda table, h: int(table[int(h) >> (64 - toxicity.BUCKET_BITS)])
+    x = [model.embed[row(model.words, w)] + model.embed[row(model.heads, h)] for w, h in zip(hashes, heads, strict=True)]
+    total = model.out_bias
+    for a, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            sums = [
+                sum(float(x[at + j] @ model.kernels[a][j][:, f]) for j in range(width) if at + j < len(x)) for at in range(len(x))
+            ]
+            pooled = max(sums, default=0.0) + model.bias[a][f]
+            total += max(pooled, 0.0) * model.out[a * toxicity.FILTERS + f]
+    votes = [sum(int(w) in {int(v) for v in known} for w in hashes) for known in model.common.values()]
+    total -= list(model.thresholds.values())[votes.index(max(votes))]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_a_plain_network(spark, monkeypatch):
+    rows = corpus(random.Random(4), 500)
+    model = toxicity.fit([t for _, t, _, _ in rows], [y for *_, y in rows])
+    model.thresholds.update(en=0.3, de=-0.4)
+    texts = [t for _, t, _, _ in rows[:40]] + ["", "one", "unseen words zzz qqq", "The Of " + rows[0][1].upper(), "-- ..", " ".join(t for _, t, _, _ in rows)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model, text), abs=1e-5)
+    long = texts[-1]
+    whole = got[len(texts) - 1]
+    monkeypatch.setattr(toxicity, "LONG_WORDS", 100)  # the same text in segments
+    assert toxicity.Scorer(model)([long])[0] == pytest.approx(whole, abs=1e-6)
 
 
 def test_without_labels_or_rows(spark):
