@@ -82,8 +82,6 @@ def attach(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str = "
     total = classes.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
     bound = total // (HEAVY_SHARE * partitions(rows.sparkSession)) + 1
     heavy = classes.where(F.col(copies) > bound)
-    if heavy.isEmpty():
-        return rows.join(classes, keys, how)
     few = F.broadcast(heavy)  # fewer than HEAVY_SHARE * partitions rows
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return rows.join(few, keys).unionByName(rest.join(classes.where(F.col(copies) <= bound), keys, how))
