@@ -77,7 +77,7 @@ def attach(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str = "
     Values that hold more than a small share of the rows are fewer than four times the number of
     partitions, whatever the size of the table: they are broadcast, so their rows stay where they
     are.  Only the others are dealt by their keys, and none of these is heavy.  Both tables are
-    read twice where there are heavy values and should be kept ones.
+    read twice and should be kept ones or cheap to read.
     """
     total = classes.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
     bound = total // (HEAVY_SHARE * partitions(rows.sparkSession)) + 1
