@@ -225,11 +225,12 @@ def similar_links(sketches: DataFrame, docs: DataFrame, limit: float) -> DataFra
     large = members.where(F.col("size") > SMALL_BUCKET)
     central = large.groupBy("rep").agg(F.sum("size").alias("weight"))
     ranked = durable(large.join(central, "rep").select("bucket", "rep", "weight"), 8)
-    hubs = ranked.groupBy("bucket").agg(
-        F.max("weight").alias("weight"), F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")
+    hubs = durable(
+        ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")), 8
     )
+    # a large bucket may hold any share of the members: its hub goes to them where they are
     starred = (
-        ranked.select("bucket", "rep").join(hubs.select("bucket", "hub"), "bucket")
+        attach(ranked.select("bucket", "rep"), hubs, ["bucket"], "size")
         .where("rep != hub")
         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         .distinct()
@@ -292,15 +293,18 @@ def _open_groups(ranked: DataFrame, links: DataFrame) -> DataFrame | None:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     leads = both.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("lead"))
     leads = leads.withColumn("lead", F.least("rep", "lead"))
-    labelled = ranked.select("bucket", "rep").join(leads, "rep", "left").withColumn(
-        "component", F.coalesce("lead", "rep")
+    labelled = durable(
+        ranked.select("bucket", "rep").join(leads, "rep", "left").withColumn("component", F.coalesce("lead", "rep")), 8
     )
-    spread = (
+    spread = durable(
         labelled.groupBy("bucket")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"))
-        .where("lo != hi")
+        .agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("first"),
+            F.count(F.lit(1)).alias("size"),
+        )
+        .where("lo != hi").select("bucket", "first", "size"), 8
     )
-    tied = durable(labelled.join(spread.select("bucket", "first"), "bucket").select("rep", "first", "component"), 8)
+    tied = durable(attach(labelled, spread, ["bucket"], "size").select("rep", "first", "component"), 8)
     if tied.isEmpty():
         return None
     groups = components(tied.select(F.col("rep").alias("a"), F.col("first").alias("b")))
