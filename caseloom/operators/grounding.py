@@ -155,19 +155,40 @@ def route(grade: Column, loops: Column, most: int = 3) -> Column:
     return F.when((grade == "yes") | (loops >= most), "validator").otherwise("rewriter")
 
 
-def unsupported_rate(answer: Column, docs: Column) -> Column:
-    """Share of claims (sentences of 20 or more characters that do not open with #) without a
-    document that shares max(2, n/3) of their n words; a claim without words counts only."""
-    claims = F.filter(
+def _claims(answer: Column) -> Column:
+    """Sentences of 20 or more characters that do not open with #."""
+    return F.filter(
         F.transform(T.sentences(answer), T.strip), lambda s: (F.length(s) >= 20) & ~s.startswith("#")
     )
 
+
+def unsupported_claims(answer: Column, docs: Column) -> Column:
+    """Claims with words of which no document shares max(2, n/3) of the n."""
+
     def unsupported(s: Column) -> Column:
         words = T.ascii_words(s)
         need = F.greatest(F.lit(2), F.floor(F.size(words) / 3))
         return (F.size(words) > 0) & ~F.exists(docs, lambda d: F.size(F.array_intersect(words, T.ascii_words(d))) >= need)
 
-    return F.when(F.size(claims) > 0, F.size(F.filter(claims, unsupported)) / F.size(claims)).otherwise(F.lit(0.0))
+    return F.filter(_claims(answer), unsupported)
+
+
+def unsupported_rate(answer: Column, docs: Column) -> Column:
+    """Share of unsupported claims; a claim without words counts as supported."""
+    n = F.size(_claims(answer))
+    return F.when(n > 0, F.size(unsupported_claims(answer, docs)) / n).otherwise(F.lit(0.0))
+
+
+def local_facts(answer: Column, docs: Column, least: int = 2) -> Column:
+    """array<struct<value, supporting_docs, is_sufficiently_supported>>: the critical values of an
+    answer, supported by those of the given documents that hold them."""
+
+    def fact(value: Column) -> Column:
+        norm = T.normalise_value(value)
+        n = F.size(F.filter(docs, lambda d: T.normalise_content(F.coalesce(d, F.lit(""))).contains(norm)))
+        return F.struct(value.alias("value"), n.alias("supporting_docs"), (n >= least).alias("is_sufficiently_supported"))
+
+    return F.transform(F.array_distinct(T.critical_values(answer)), fact)
 
 
 def grounding_notice(answer: Column, report: Column, unsupported: Column) -> Column:

@@ -140,11 +140,14 @@ def exposition(counters: DataFrame, summary: DataFrame) -> DataFrame:
 
 def sliding_alert(events: DataFrame, metric: Column, limit: float, width: str = "5 minutes", slide: str = "1 minute", for_windows: int = 3) -> DataFrame:
     """(window_start, value, firing): metric over sliding windows; firing when it has been over
-    the limit in for_windows consecutive windows."""
+    the limit in the last for_windows windows, one slide apart.  A window without events is not
+    over the limit."""
     agg = events.groupBy(F.window("ts", width, slide).alias("w")).agg(metric.alias("value"))
-    # one row a window: their number grows with time, not with the events
-    day = F.to_date("window_start")
     rows = agg.select(F.col("w.start").alias("window_start"), "value")
-    order = Window.partitionBy(day).orderBy("window_start").rowsBetween(-(for_windows - 1), 0)
-    over = F.sum((F.col("value") > limit).cast("int")).over(order)
-    return rows.withColumn("firing", over == for_windows)
+    # each window over the limit counts for itself and for those that follow: no order is needed
+    step = F.expr(f"INTERVAL {slide}")
+    later = F.explode(F.array(*[F.col("window_start") + step * k for k in range(for_windows)]))
+    over = rows.where(F.col("value") > limit).select(later.alias("window_start")).groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(over, "window_start", "left").select(
+        "window_start", "value", (F.coalesce("n", F.lit(0)) == for_windows).alias("firing")
+    )

@@ -1,20 +1,24 @@
 """Batch retrieval: filters, vector and keyword legs, rank fusion, stitching, boosting.
 
-All operators take many queries at once.  The chunks are scanned once for all queries; each leg
-keeps its best rows in map-side order (a ranked window with a limit per query), so what is
-shuffled is bounded by queries x limit, not by the corpus.
+All operators take many queries at once.  The chunks are scanned once for all queries, which are
+broadcast, their number being checked; each task keeps the best rows of each query, so what is
+shuffled is bounded by tasks x queries x limit, not by the corpus.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.functions import text as T
 from caseloom.functions.vectors import cosine
+from caseloom.operators.topn import BLOCK_SCORES, Best, best_rows, ids_of
 
 #: Queries, and tokens of queries, that are broadcast to the scan of the chunks; their number is
 #: counted first.
@@ -74,30 +78,89 @@ def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     )
 
 
+def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of norm 1, and which of them there are: those of the width, of finite norm above 0."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    rows = np.flatnonzero(sizes == width)
+    x = np.zeros((len(column), width))
+    if len(rows):
+        flat = (column if len(rows) == len(column) else column.take(pa.array(rows))).flatten()
+        x[rows] = flat.to_numpy(zero_copy_only=False).reshape(len(rows), width)
+    norm = np.linalg.norm(x, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    x[good] /= norm[good, None]
+    x[~good] = 0
+    return x, good
+
+
 def semantic_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, similarity, rank): the n chunks nearest to each query's vector.
 
-    Queries against all chunks is the operator's task: more than MOST_QUERIES at a time raise.
+    Products of the queries' matrix with blocks of chunks; chunks without a vector, or with one of
+    another length or of norm 0, have no similarity and are left out.  Queries against all chunks
+    is the operator's task: more than MOST_QUERIES at a time raise.
     """
     if not few(queries, MOST_QUERIES):
         raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
-    scored = (
-        chunks.select("id", "embedding")
-        .join(F.broadcast(queries.select("query_id", "query_embedding")))
-        .select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 9).alias("similarity"))
-    )
-    return _top(scored, n, F.desc_nulls_last("similarity"), F.asc("id"))
+    asked = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where("v is not null").toArrow()
+    names, vectors = (asked[c].combine_chunks() for c in ("query_id", "v"))
+    width = int(pc.max(pc.list_value_length(vectors)).as_py() or 1) if len(names) else 1
+    unit, good = _unit(vectors, width)
+    names, unit = names.filter(pa.array(good)), unit[good]
+    step = max(1, BLOCK_SCORES // max(1, len(unit)))
+
+    def fill(best: Best, batch: pa.RecordBatch) -> None:
+        x, known = _unit(batch.column(1), width)
+        ids = ids_of(batch.column(0))
+        for at in range(0, len(x), step):
+            scores = np.round(unit @ x[at : at + step].T, 9)
+            scores[:, ~known[at : at + step]] = -np.inf
+            best.add_block(ids[at : at + step], scores)
+
+    rows = chunks.where("embedding is not null").select("id", F.col("embedding").cast("array<double>"))
+    found = best_rows(rows, names, "similarity", n, "double", fill)
+    return _top(found, n, F.desc_nulls_last("similarity"), F.asc("id"))
 
 
 def keyword_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, hits, rank): chunks with at least one of the query's tokens, those with
-    most different ones first.  An equi-join on tokens: chunks without one are never paired."""
+    most different ones first.
+
+    Tokens of all queries are looked up in each chunk, whose hits are counted in place; beyond
+    MOST_QUERIES queries or MOST_TOKENS tokens an equi-join on tokens does the same.
+    """
     q = queries.select("query_id", F.explode(T.unicode_tokens(F.col("query"))).alias("token"))
-    c = chunks.select("id", F.explode(T.unicode_tokens(F.col("content"))).alias("token"))
-    hits = c.join(F.broadcast(q) if few(q, MOST_TOKENS) else q, "token").groupBy("query_id", "id").agg(
-        F.count(F.lit(1)).alias("hits")
-    )
-    return _top(hits, n, F.desc("hits"), F.asc("id"))
+    tokens = F.array_distinct(T.unicode_tokens(F.col("content")))
+    if not (few(q, MOST_TOKENS) and few(queries, MOST_QUERIES)):
+        c = chunks.select("id", F.explode(tokens).alias("token"))
+        hits = c.join(q, "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+        return _top(hits, n, F.desc("hits"), F.asc("id"))
+    pairs = q.distinct().toArrow()
+    names = pc.unique(pairs["query_id"])
+    words = pc.unique(pairs["token"])
+    owner = pc.index_in(pairs["query_id"], names).to_numpy()
+    word = pc.index_in(pairs["token"], words).to_numpy()
+    order = np.argsort(word, kind="stable")
+    owner, starts = owner[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+    step = max(1, BLOCK_SCORES // max(1, len(names)))
+
+    def fill(best: Best, batch: pa.RecordBatch) -> None:
+        for at in range(0, len(batch), step):
+            part = batch.slice(at, step)
+            lists = part.column(1)
+            place = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), words), -1))
+            row = np.repeat(np.arange(len(part)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            row, place = row[place >= 0], place[place >= 0]
+            sizes = starts[place + 1] - starts[place]
+            # all queries of each token: positions starts[p], starts[p] + 1, ... of owner
+            flat = np.arange(sizes.sum()) + np.repeat(starts[place] - (np.cumsum(sizes) - sizes), sizes)
+            hits = np.bincount(owner[flat] * len(part) + np.repeat(row, sizes), minlength=len(names) * len(part))
+            scores = hits.reshape(len(names), len(part)).astype(float)
+            scores[scores == 0] = -np.inf
+            best.add_block(ids_of(part.column(0)), scores)
+
+    found = best_rows(chunks.select("id", tokens), names, "hits", n, "long", fill)
+    return _top(found, n, F.desc("hits"), F.asc("id"))
 
 
 def fuse(

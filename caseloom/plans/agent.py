@@ -38,13 +38,14 @@ def _retrieve(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
 
 
 def answer(chunks: DataFrame, queries: DataFrame, top_k: int = 5, loops: int = MOST_LOOPS) -> DataFrame:
-    """(query_id, intent, loops, grade, answer, citations, grounding, risk, decision)."""
+    """(query_id, intent, loops, grade, answer, citations, grounding, unsupported_claims,
+    critical_facts, risk, decision): one row a query."""
     todo = queries.select("query_id", "query", "query_embedding", F.col("query").alias("asked"))
     done = None
     for loop in range(loops + 1):
         hits = _retrieve(chunks, todo, top_k)
         docs = hits.groupBy("query_id").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "id", "source", F.substring("content", 1, 1000).alias("text")))).alias("docs")
+            F.array_sort(F.collect_list(F.struct("rank", "id", "source", F.col("content").alias("text")))).alias("docs")
         )
         state = todo.join(docs, "query_id", "left").withColumn("docs", F.coalesce("docs", F.array().cast(docs.schema["docs"].dataType)))
         body = F.array_join(F.transform("docs", lambda x: x["text"]), " ")
@@ -59,21 +60,28 @@ def answer(chunks: DataFrame, queries: DataFrame, top_k: int = 5, loops: int = M
 
 
 def _respond(state: DataFrame) -> DataFrame:
-    """Extractive answers with citations, checked against the retrieved sources."""
+    """Extractive answers with citations, checked against the retrieved documents: citations by
+    their sources, claims by shared words, critical values by the documents that hold them."""
     line = lambda x: F.concat(F.element_at(T.sentences(x["text"]), 1), F.lit(" [Source: "), x["source"], F.lit("]"))
     text = F.array_join(F.transform(F.slice("docs", 1, 3), line), " ")
+    texts = F.transform("docs", lambda x: x["text"])
     out = state.withColumn("intent", T.intent(F.col("asked"))).withColumn("answer", text)
     out = out.withColumn("report", grounding.validate_citations(F.col("answer"), F.transform("docs", lambda x: x["source"])))
+    out = out.withColumn("unsupported", grounding.unsupported_claims(F.col("answer"), texts))
+    out = out.withColumn("facts", grounding.local_facts(F.col("answer"), texts))
     total, bad = F.size("report"), F.size(F.filter("report", lambda c: ~c["is_valid"]))
-    none = F.array().cast("array<string>")
-    risk = grounding.risk_score(total, bad, none, F.lit(0), F.lit(0))
+    severity = F.transform("unsupported", lambda c: F.when(F.size(T.critical_values(c)) > 0, "critical").otherwise("major"))
+    weak = F.size(F.filter("facts", lambda f: ~f["is_sufficiently_supported"]))
+    args = (total, bad, severity, F.size("facts"), weak)
+    risk = grounding.risk_score(*args)
     score = grounding.grounding_score(F.col("report"))
     out = out.withColumn("risk", F.round(risk, 4)).withColumn("decision", grounding.risk_decision(risk))
-    flags = grounding.risk_flags(total, bad, none, F.lit(0), F.lit(0))
+    noted = grounding.grounding_notice(F.col("answer"), F.col("report"), F.col("unsupported"))
     return out.select(
         "query_id", "intent", "loops", "grade",
-        grounding.guarded_answer(F.col("answer"), F.col("decision"), F.col("risk"), flags).alias("answer"),
-        total.alias("citations"), grounding.grounding_status(score).alias("grounding"), "risk", "decision",
+        grounding.guarded_answer(noted, F.col("decision"), F.col("risk"), grounding.risk_flags(*args)).alias("answer"),
+        total.alias("citations"), grounding.grounding_status(score).alias("grounding"),
+        F.size("unsupported").alias("unsupported_claims"), F.size("facts").alias("critical_facts"), "risk", "decision",
     )
 
 

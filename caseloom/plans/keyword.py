@@ -9,15 +9,16 @@ shortest extent that holds all query words adds the mean weight over its length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caseloom.operators.retrieval import MOST_QUERIES, few
+from caseloom.operators.topn import Best, best_rows, ids_of
 
 #: English words without a rank.
 STOP = frozenset(
@@ -153,29 +154,38 @@ def cover_density(index: dict[str, list[int]], stems: set[str]) -> float:
 def ranked_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, score, rank): the n best chunks for each query.
 
-    The parsed queries travel with the task; each chunk is stemmed once
-    for all of them, and only matches leave the task.
+    The parsed queries travel with the task.  Equal conjunctions of all queries are one, found by
+    its longest stem, so a chunk is stemmed once and meets only conjunctions that it may match.
     """
     if not few(queries, MOST_QUERIES):
         raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
-    rows = queries.select("query_id", "query").collect()  # at most MOST_QUERIES
-    parsed = [(r["query_id"], parse(r["query"] or "")) for r in rows]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["id"], pdf["content"], strict=True):
-                index: dict[str, list[int]] = {}
-                for s, p in lexemes(text or ""):
-                    index.setdefault(s, []).append(p)
-                for q, alternatives in parsed:
-                    scores = [
-                        cover_density(index, {s for wanted, stems in c if wanted for s in stems}) for c in alternatives if matches(c, index)
-                    ]
-                    if scores:
-                        rows.append((q, key, round(sum(scores), 6)))
-            yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    found = chunks.select("id", "content").mapInPandas(run, "query_id long, id long, score double")
+    rows = queries.select("query_id", "query").toArrow()  # at most MOST_QUERIES
+    names = rows["query_id"].combine_chunks()
+    asked: dict[tuple, list[int]] = {}
+    for number, query in enumerate(rows["query"].to_pylist()):
+        for c in parse(query or ""):
+            asked.setdefault(tuple(c), []).append(number)
+    by_stem: dict[str, list[tuple[tuple, set[str], np.ndarray]]] = {}
+    for c, owners in asked.items():
+        stems = {s for wanted, found in c if wanted for s in found}
+        by_stem.setdefault(max(stems, key=lambda s: (len(s), s)), []).append((c, stems, np.array(owners)))
+
+    def fill(best: Best, batch: pa.RecordBatch) -> None:
+        ids = ids_of(batch.column(0))
+        for row, text in enumerate(batch.column(1)):
+            index: dict[str, list[int]] = {}
+            for s, p in lexemes(text.as_py() or ""):
+                index.setdefault(s, []).append(p)
+            owner, score = [], []
+            for s in index.keys() & by_stem.keys():
+                for c, stems, owners in by_stem[s]:
+                    if matches(c, index):
+                        owner.append(owners)
+                        score.append(np.full(len(owners), cover_density(index, stems)))
+            if owner:
+                found, at = np.unique(np.concatenate(owner), return_inverse=True)
+                best.add(found, np.repeat(ids[row : row + 1], len(found)), np.round(np.bincount(at, np.concatenate(score)), 6))
+
+    found = best_rows(chunks.select("id", "content"), names, "score", n, "double", fill)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= n)

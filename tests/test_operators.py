@@ -220,6 +220,48 @@ def test_reviews(spark):
 # --- plans ------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select * from secret", "select * from t, secret", "select * from parquet.`{path}`", "select * from default.secret",
+        "select (select max(id) from secret) from t", "select (select max(id) from parquet.`{path}`) from t",
+        "select * from t where id in (select id from secret)", "select * from t where exists (select 1 from secret)",
+        "select * from t join lateral (select * from secret)", "with secret as (select * from secret) select * from secret",
+        "select * from (with secret as (select 1 z) select * from secret) join secret", "select * from identifier('secret')",
+        "select java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'getProperty', 'x') from t",
+        "select try_reflect('java.lang.System', 'getProperty', 'x')", "select identifier('java_method')('java.lang.System', 'gc')",
+        "select transform(id) using 'cat' from t", "select own_udf() from t", "select input_file_name() from t", "select 1; select 2",
+        "explain select * from secret", "insert into t select 1", "with x as (insert into t select 1) select 1", "select * from global_temp.t",
+    ],
+)
+def test_sql_guard_refuses(spark, tmp_path, sql):
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "other"))
+    spark.udf.register("own_udf", lambda: "1")
+    with pytest.raises(readonly_sql.NotReadOnly):
+        readonly_sql.run(spark, {"t": spark.range(5)}, sql.format(path=tmp_path / "other"))
+
+
+@pytest.mark.parametrize(
+    ("sql", "rows"),
+    [
+        ("select id % 2 b, count(*) n from t group by 1 having count(*) > 0 order by n limit 9", 2), ("select * from t union all select 7", 6),
+        ("with x as (select * from t) select x.id, (select max(id) from t) m from x join t on x.id = t.id where x.id in (select id from t)", 5),
+        ("select row_number() over (partition by id order by id) from t /* drop */ -- insert", 5), ("select 'a -- b; /* c' as `from` from T", 5),
+        ("select * from (values (1), (2)) v(z) lateral view explode(array(1, 2)) e as k", 4), ("select * from range(3)", 3),
+        ("select transform(array(id), x -> x + 1) from t", 5), ("explain select * from t", 1),
+    ],
+)
+def test_sql_guard_allows(spark, sql, rows):
+    assert len(readonly_sql.run(spark, {"t": spark.range(5)}, sql).collect()) == rows
+
+
+def test_sql_runs_in_its_own_session(spark):
+    spark.range(9).createOrReplaceTempView("t")
+    assert readonly_sql.run(spark, {"t": spark.range(5)}, "select * from t").count() == 5
+    assert spark.table("t").count() == 9
+
+
 def test_readonly_sql(spark):
     views = {"t": spark.range(5)}
     assert readonly_sql.run(spark, views, "select id from t where 'drop' <> 'do' -- x", 3).count() == 3
@@ -346,10 +388,102 @@ def test_registry(spark):
 
     spark.createDataFrame([("What is the date?",)], "content string").createOrReplaceTempView("reg_view")
     assert "query_intent" in registry.with_functions(spark, "reg_view")
-    assert readonly_sql.run(spark, {}, "select query_intent from reg_view").first()[0] == "fact_lookup"
+    assert readonly_sql.run(spark, {"reg_view": spark.table("reg_view")}, "select query_intent from reg_view").first()[0] == "fact_lookup"
 
     @registry.register_scorer("my-scorer")
     def mine(hits):
         return F.lit(1.0)
 
     assert registry.SCORERS["my_scorer"] is mine
+
+
+def plain_top(scores, n):
+    """{query: [ids]} of (query, id, score), best first, ties by id."""
+    out = {}
+    for q, i, s in sorted(scores, key=lambda r: (r[0], -r[2], r[1])):
+        out.setdefault(q, []).append((i, s))
+    return {q: v[:n] for q, v in out.items()}
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_search_legs_equal_brute_force(spark, monkeypatch, text_ids):
+    import numpy as np
+
+    from caseloom.operators import topn
+
+    monkeypatch.setattr(topn, "MOST_HELD", 50)
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", 40)
+    rng, words = np.random.default_rng(3), [f"word{i}" for i in range(30)]
+    name = (lambda i: f"c{i:04d}") if text_ids else (lambda i: i)
+    rows = [(name(i), " ".join(rng.choice(words, 12)), [float(x) for x in rng.integers(-2, 3, 5)]) for i in range(200)]
+    rows += [(name(900), None, None), (name(901), "word1 word2", [0.0] * 5), (name(902), "word1 word2", [1.0, 2.0]), (name(903), "", [1.0] * 5)]
+    asks = [(q, " ".join(rng.choice(words, 4)), [float(x) for x in rng.integers(-2, 3, 5)]) for q in range(6)] + [(6, "none of them", None), (7, None, [0.0] * 5)]
+    kind = "string" if text_ids else "long"
+    chunks = spark.createDataFrame(rows, f"id {kind}, content string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(asks, "query_id long, query string, query_embedding array<double>")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    cos = [
+        (q, i, round(float(unit(a) @ unit(v)), 9)) for q, _, a in asks if a and any(a) for i, _, v in rows if v and len(v) == 5 and any(v)
+    ]
+    hits = [
+        (q, i, n) for q, a, _ in asks for i, c, _ in rows if (n := len({w for w in (a or "").split()} & {w for w in (c or "").split()}))
+    ]
+    for found, score, want in (
+        (retrieval.semantic_top(chunks, queries, 7), "similarity", plain_top(cos, 7)), (retrieval.keyword_top(chunks, queries, 7), "hits", plain_top(hits, 7))
+    ):
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append((r["id"], r[score]))
+        assert got.keys() == want.keys()
+        for q in want:
+            assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
+    monkeypatch.setattr(retrieval, "MOST_TOKENS", 2)  # the join instead
+    joined = retrieval.keyword_top(chunks, queries, 7).collect()
+    assert {(r["query_id"], r["id"], r["hits"]) for r in joined} == {(q, i, s) for q, v in plain_top(hits, 7).items() for i, s in v}
+    assert retrieval.semantic_top(chunks.limit(0), queries, 3).count() == 0 == retrieval.keyword_top(chunks, queries.limit(0), 3).count()
+
+
+def test_cover_density_equals_brute_force(spark):
+    import random
+
+    rng, words = random.Random(4), "safety plant report pipe valve tank alarm crew".split()
+    rows = [(i, " ".join(rng.choices(words + ["the", "of"], k=rng.randint(0, 25)))) for i in range(150)]
+    asks = [(q, x) for q, x in enumerate(["safety plant", '"pipe valve" or tank', "alarm -crew", "report or report", "the of", "missing", "safety or plant or pipe"])]
+    got = keyword.ranked_top(spark.createDataFrame(rows, "id long, content string"), spark.createDataFrame(asks, "query_id long, query string"), 5).collect()
+    scores = []
+    for q, ask in asks:
+        for i, text in rows:
+            index = {}
+            for s, p in keyword.lexemes(text):
+                index.setdefault(s, []).append(p)
+            found = [keyword.cover_density(index, {s for w, x in c if w for s in x}) for c in keyword.parse(ask) if keyword.matches(c, index)]
+            if found:
+                scores.append((q, i, round(sum(found), 6)))
+    want = plain_top(scores, 5)
+    assert {(r["query_id"], r["id"], r["score"], r["rank"]) for r in got} == {(q, i, s, n + 1) for q, v in want.items() for n, (i, s) in enumerate(v)}
+
+
+def test_alert_across_midnight_and_with_a_gap(spark):
+    from caseloom.operators import metrics
+
+    at = lambda *m: [(f"2024-01-0{1 + x // 1440} {x // 60 % 24:02d}:{x % 60:02d}:30", 200.0) for x in m]
+    rows = at(1437, 1438, 1439, 1440, 1441) + at(300, 301, 600)
+    events = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = metrics.sliding_alert(events, F.sum("value"), 100.0, "1 minute", "1 minute").collect()
+    firing = sorted(str(r["window_start"])[5:16] for r in out if r["firing"])
+    assert firing == ["01-01 23:59", "01-02 00:00", "01-02 00:01"] and len(out) == 8
+
+
+def test_agent_risk_uses_claims_and_facts(spark):
+    docs = lambda *texts: [(n, n, f"s{n}.txt", t) for n, t in enumerate(texts)]
+    schema = "query_id long, asked string, query string, loops int, grade string, docs array<struct<rank:int,id:int,source:string,text:string>>"
+    same = "The valve of the northern plant was closed on 2024-01-15 by the crew. More text follows here."
+    rows = [
+        (1, "q", "q", 0, "yes", docs(same, same, same)),
+        (2, "q", "q", 0, "yes", docs("Costs of $5,000 were paid on 2023-02-03 to a contractor of the plant. x", "Another unrelated sentence says 45% of it here. y")),
+        (3, "q", "q", 0, "no", []),
+    ]
+    got = {r["query_id"]: r for r in agent._respond(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1]["decision"] == "pass" and got[1]["critical_facts"] == 1 and got[1]["risk"] == 0 and got[1]["citations"] == 3
+    assert got[2]["critical_facts"] >= 3 and got[2]["risk"] >= 0.3
+    assert got[3]["citations"] == 0 and got[3]["risk"] == 0
