@@ -270,3 +270,67 @@ def intent(query: Column) -> Column:
 
 def intent_confidence(name: Column) -> Column:
     return F.when(name == "exploratory", F.lit(0.5)).otherwise(F.lit(0.7))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of the matches of pattern, by code points, end exclusive:
+    the lengths of the parts between matches and of the matches before, added up."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.transform(F.split(text, pattern), lambda p: F.length(p))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    sizes = F.transform(matches, lambda m: F.length(m))
+
+    def one(m: Column, i: Column) -> Column:
+        start = total(F.slice(parts, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+
+    return F.transform(matches, one)
+
+
+def pii_spans(text: Column) -> Column:
+    """array<struct<start, end, pii_type, value>> of personal data, sorted by start; of finds with
+    one start and end the pattern listed first stays."""
+
+    def typed(n: int, name: str):
+        return lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("n"), F.lit(name).alias("pii_type"), s["value"].alias("value")
+        )
+
+    found = F.concat(*[F.transform(spans(text, pattern), typed(n, name)) for n, (name, pattern, _) in enumerate(P.PII)])
+    ordered = F.array_sort(found)
+    first = F.filter(
+        ordered, lambda x: ~F.exists(ordered, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["n"] < x["n"]))
+    )
+    return F.transform(first, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pii_type"].alias("pii_type"), x["value"].alias("value")))
+
+
+def citation_contexts(text: Column, width: int = 60) -> Column:
+    """array<struct<source, page, context>>: citations with up to width characters on each side."""
+    around = F.transform(
+        spans(text, P.CITATION),
+        lambda s: strip(F.substring(text, F.greatest(s["start"] - width, F.lit(0)) + 1, s["end"] + width - F.greatest(s["start"] - width, F.lit(0)))),
+    )
+    return F.zip_with(
+        citations(text), around, lambda c, a: F.struct(c["source"].alias("source"), c["page"].alias("page"), a.alias("context"))
+    )
+
+
+def query_hash(query: Column) -> Column:
+    """The first 16 hex digits of the SHA-256, as audit records hold it."""
+    return F.substring(F.sha2(query, 256), 1, 16)
+
+
+def is_safe_filename(name: Column) -> Column:
+    """Letters, digits, underscores, hyphens, dots and blanks only, at least one of them."""
+    return F.coalesce(name.rlike(r"^[\p{L}\p{N}_\-. ]+$"), F.lit(False))
+
+
+def mail_item_id(internet_id: Column, entry_id: Column, archive: Column, subject: Column, sender: Column, received: Column, index: Column) -> Column:
+    """The internet message id, else the store's entry id, else a hash of what identifies the item."""
+    raw = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (archive, subject, sender, received, index)])
+    return F.coalesce(F.nullif(strip(internet_id), F.lit("")), F.nullif(entry_id, F.lit("")), F.sha2(raw, 256))
+
+
+def routed_top_k(top_k: Column, confidence: Column, suggested: Column, sure: float = 0.8) -> Column:
+    """The intent's number of chunks, or the suggested one of a confident classification."""
+    return F.when((confidence >= sure) & suggested.isNotNull(), suggested).otherwise(top_k)

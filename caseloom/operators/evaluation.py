@@ -59,3 +59,39 @@ def report(results: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(truth, F.col("recall_at_k"))), 6).alias("avg_recall_at_k"),
         F.round(F.avg(F.when(truth, F.col("reciprocal_rank"))), 6).alias("avg_mrr"),
     )
+
+
+def metadata_coverage(docs: Column) -> Column:
+    """Share of documents (struct with email_from, email_subject, message_id) with any of these."""
+    has = lambda d: (
+        F.coalesce(F.nullif(d["email_from"], F.lit("")), F.nullif(d["email_subject"], F.lit("")), F.nullif(d["message_id"], F.lit(""))).isNotNull()
+    )
+    return F.when(F.size(docs) > 0, F.size(F.filter(docs, has)) / F.size(docs)).otherwise(F.lit(0.0))
+
+
+def full_report(results: DataFrame) -> DataFrame:
+    """One row over all questions: means of quality, retrieval, latency and e-mail metrics, rates of
+    accepted and rewritten questions, sums of warnings and stitched chunks.
+
+    results(faithfulness, relevance, relevant, precision_at_k, recall_at_k, reciprocal_rank, seconds,
+    answer_length, grade, loops, citation_precision, unsupported_rate, warnings, stitched, coverage).
+    """
+    truth = F.size("relevant") > 0
+    mean = lambda c, n: F.round(F.avg(c), n)
+    return results.agg(
+        F.count(F.lit(1)).alias("questions"),
+        F.coalesce(F.sum(truth.cast("long")), F.lit(0)).alias("with_truth"),
+        *[mean(F.col(c), 3).alias(f"avg_{c}") for c in ("faithfulness", "relevance", "citation_precision", "unsupported_rate", "coverage")],
+        *[mean(F.when(truth, F.col(c)), 3).alias(f"avg_{c}") for c in ("precision_at_k", "recall_at_k", "reciprocal_rank")],
+        mean("seconds", 2).alias("avg_seconds"),
+        mean("answer_length", 0).alias("avg_answer_length"),
+        mean((F.col("grade") == "yes").cast("double"), 3).alias("grader_pass_rate"),
+        mean((F.col("loops") > 0).cast("double"), 3).alias("rewrite_rate"),
+        F.sum("warnings").cast("long").alias("total_warnings"),
+        F.sum("stitched").cast("long").alias("total_stitched"),
+    )
+
+
+def node_means(timings: DataFrame) -> DataFrame:
+    """(node, mean_seconds) over node_timings()."""
+    return timings.groupBy("node").agg(F.round(F.avg("seconds"), 4).alias("mean_seconds"))

@@ -37,6 +37,16 @@ def data_inventory(chunks: DataFrame, policies: DataFrame, now: Column, default_
     )
 
 
+def source_lists(chunks: DataFrame) -> DataFrame:
+    """(case_id, sources): the sorted distinct sources of each case."""
+    return chunks.groupBy("case_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def set_sizes(sets: DataFrame) -> DataFrame:
+    """sets with n_docs, the number of documents of each saved set (an array `docs`)."""
+    return sets.withColumn("n_docs", F.coalesce(F.size("docs"), F.lit(0)))
+
+
 def retention_sweep(inventory: DataFrame) -> DataFrame:
     """One row of totals; a case under legal hold is never deleted."""
     expired = F.coalesce("expired", F.lit(False))

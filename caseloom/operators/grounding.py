@@ -150,6 +150,30 @@ def review_confidence(status: Column, downgraded: Column) -> Column:
     return base - F.when(downgraded, F.lit(0.15)).otherwise(F.lit(0.0))
 
 
+def needs_review(confidence: Column, threshold: float = 0.65) -> Column:
+    """Whether an answer goes to the review queue."""
+    return confidence < threshold
+
+
+def fact_warnings(facts: Column) -> Column:
+    """A line for each weak fact (value, supporting_docs, is_sufficiently_supported), or one that
+    says that there is none."""
+    weak = F.filter(facts, lambda f: ~f["is_sufficiently_supported"])
+    line = lambda f: F.concat(F.lit("- "), f["value"], F.lit(" (supporting documents: "), f["supporting_docs"].cast("string"), F.lit(")"))
+    return (
+        F.when(F.size(facts) == 0, "No critical facts.")
+        .when(F.size(weak) == 0, "All critical facts have support.")
+        .otherwise(F.concat(F.lit("Critical facts without enough support:\n"), F.array_join(F.transform(weak, line), "\n")))
+    )
+
+
+def cited_pages(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """(source, pages): the sorted pages that answers cite of each source; citations without a
+    page count as none."""
+    cited = answers.select(F.explode(T.citations(F.col(answer))).alias("c"))
+    return cited.groupBy(F.col("c.source").alias("source")).agg(F.array_sort(F.collect_set("c.page")).alias("pages"))
+
+
 def route(grade: Column, loops: Column, most: int = 3) -> Column:
     """Where the query goes after grading."""
     return F.when((grade == "yes") | (loops >= most), "validator").otherwise("rewriter")

@@ -244,15 +244,17 @@ def merge_dedup(docs: DataFrame, order: Column) -> DataFrame:
 
 def metadata_boost(
     query: Column, email_from: Column, email_to: Column, entity: Column, subject: Column, content: Column,
-    weight: float = 0.15,
+    weight: float = 0.15, stale: Column | None = None, penalty: float = 0.05,
 ) -> Column:
     """weight for each query token among those of sender, recipient and entity, half of it for
-    each in the subject, and weight for each date of the query that the text mentions."""
+    each in the subject, and weight for each date of the query that the text mentions; less the
+    penalty where stale (a chunk without any date), if that column is given."""
     tokens = T.unicode_tokens(query)
     hits = lambda c: F.size(F.array_intersect(tokens, T.unicode_tokens(F.coalesce(c, F.lit("")))))
     body = F.lower(F.coalesce(content, F.lit("")))
     dates = F.size(F.filter(T.date_mentions(query), lambda d: body.contains(d)))
-    return weight * (hits(email_from) + hits(email_to) + hits(entity)) + weight / 2 * hits(subject) + weight * dates
+    boost = weight * (hits(email_from) + hits(email_to) + hits(entity)) + weight / 2 * hits(subject) + weight * dates
+    return boost if stale is None else boost - F.when(stale, F.lit(penalty)).otherwise(F.lit(0.0))
 
 
 def rerank(hits: DataFrame, scorer=None, top_n: int = 100) -> DataFrame:
@@ -264,3 +266,56 @@ def rerank(hits: DataFrame, scorer=None, top_n: int = 100) -> DataFrame:
     before = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("boosted_score"), F.asc("id"))) - 1
     scored = hits.withColumn("original_rank", before).withColumn("rerank_score", score)
     return _top(scored, top_n, F.desc("rerank_score"), F.asc("original_rank"))
+
+
+def rerank_with_fallback(hits: DataFrame, scorers: list, top_n: int = 100) -> tuple[DataFrame, str]:
+    """rerank() by the first of scorers, (name, function) pairs, that can be applied, else by the
+    order of the hits; the result and the name of what ranked it.
+
+    A scorer that raises while it builds its column, as one without its service does, is skipped.
+    """
+    for name, scorer in scorers:
+        try:
+            out = rerank(hits, scorer, top_n)
+            out.schema  # noqa: B018  resolves the column
+            return out, name
+        except Exception:  # noqa: BLE001, S112  any failure of a service means the next one
+            continue
+    return rerank(hits, None, top_n), "none"
+
+
+def retrieve(
+    chunks: DataFrame, queries: DataFrame, top_k: int = 100, window: int = 1, linked: int = 2, scorers: list | None = None,
+    top_n: int | None = None, filters: dict | None = None,
+) -> DataFrame:
+    """The whole retriever: filters, both legs fused, neighbours, attachments and parents, boost by
+    metadata, reranking, siblings.
+
+    chunks(id, content, embedding, message_id, parent_message_id, chunk_index, email_from, email_to,
+    email_subject, entity_name); queries(query_id, query, query_embedding).  Returns (query_id, id,
+    rank, boosted_score, origin): reranked rows first, then their siblings.  Rows that the search
+    did not find have no score of their own: only the boost.
+    """
+    found = apply_filters(chunks, filters or {})
+    hits = hybrid_search(found, queries, top_k).select("query_id", "id", "rrf_score")
+    place = found.select("id", "message_id", "parent_message_id", "chunk_index", "embedding")
+    rows = hits.join(place, "id").join(queries.select("query_id", "query_embedding"), "query_id")
+    near = stitch_neighbours(rows, found, window).where("stitched").select("query_id", "id", F.lit("neighbour").alias("origin"))
+    files = linked_top(rows, found, "message_id", "parent_message_id", linked, by_similarity=True)
+    mails = linked_top(rows, found, "parent_message_id", "message_id", linked)
+    part = lambda df, name: df.select("query_id", "id", F.lit(name).alias("origin"))
+    order = F.create_map(*[F.lit(x) for kv in (("search", 0), ("neighbour", 1), ("attachment", 2), ("parent", 3)) for x in kv])
+    all_rows = part(hits, "search").unionByName(near).unionByName(part(files, "attachment")).unionByName(part(mails, "parent"))
+    merged = merge_dedup(all_rows, order[F.col("origin")])
+    text = found.select("id", "message_id", "chunk_index", "email_from", "email_to", "entity_name", "email_subject", "content")
+    boost = metadata_boost(*[F.col(c) for c in ("query", "email_from", "email_to", "entity_name", "email_subject", "content")])
+    scored = (
+        merged.join(hits, ["query_id", "id"], "left").join(text, "id").join(queries.select("query_id", "query"), "query_id")
+        .withColumn("boosted_score", F.round(F.coalesce("rrf_score", F.lit(0.0)) + boost, 9))
+    )
+    ranked, _ = rerank_with_fallback(scored, scorers or [], top_n or top_k)
+    ranked = ranked.select("query_id", "id", "message_id", "chunk_index", "rank", "boosted_score", "origin")
+    more = complete_siblings(ranked, found).where("is_sibling").select(
+        "query_id", "id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("boosted_score"), F.lit("sibling").alias("origin")
+    )
+    return ranked.select("query_id", "id", "rank", "boosted_score", "origin").unionByName(more)

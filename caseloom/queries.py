@@ -826,3 +826,134 @@ def ring_buffer(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def agent_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return agent.answer(chunks(spark, d), questions(spark, d))
+
+
+# --- spans, ids, reports ----------------------------------------------------------------
+
+
+def _spans_sql(c: str, pattern: str, extra: str = "") -> str:
+    """SQL list of (start, end, value) of matches: lengths of the parts between them, added up."""
+    p = pattern.replace("'", "''")
+    return (
+        f"list_transform(regexp_extract_all({c}, '{p}'), lambda m, i: struct_pack(s := coalesce(list_sum(list_transform("
+        f"string_split_regex({c}, '{p}')[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(regexp_extract_all({c}, '{p}')[1:i - 1],"
+        f" lambda y: length(y))), 0), m := m{extra}))"
+    )
+
+
+PII_SPANS = " UNION ALL ".join(
+    f"SELECT doc_id, {n} AS n, '{name}' AS pii_type, unnest({_spans_sql('text', pattern)}) AS x FROM documents"
+    for n, (name, pattern, _) in enumerate(P.PII)
+)
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, n, pii_type, CAST(x.s AS INTEGER) AS span_start, CAST(x.s + length(x.m) AS INTEGER) AS span_end, x.m AS value FROM ({PII_SPANS}))
+    SELECT doc_id, span_start, span_end, pii_type, value FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, span_start, span_end ORDER BY n) = 1"""
+)
+def pii_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.explode(T.pii_spans(F.col("text"))).alias("s"))
+    return rows.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), "s.pii_type", "s.value")
+
+
+@query(
+    f"""WITH {ANSWERS}, c AS (SELECT doc_id, answer, unnest({_spans_sql('answer', P.CITATION)}) AS x FROM answers)
+    SELECT doc_id, trim(regexp_extract(x.m, '{P.CITATION}', 1)) AS cited, regexp_replace(regexp_replace(
+      substr(answer, CAST(greatest(x.s - 60, 0) + 1 AS BIGINT), CAST(x.s + length(x.m) + 60 - greatest(x.s - 60, 0) AS BIGINT)), '^\\s+', ''), '\\s+$', '') AS context FROM c"""
+)
+def citation_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = answers(spark, d).select("doc_id", F.explode(T.citation_contexts(F.col("answer"))).alias("c"))
+    return rows.select("doc_id", F.col("c.source").alias("cited"), "c.context")
+
+
+@query(
+    f"""WITH {ANSWERS}, c AS (SELECT unnest(regexp_extract_all(answer, '{P.CITATION}', 1)) AS cited, unnest(regexp_extract_all(answer, '{P.CITATION}', 2)) AS page FROM answers)
+    SELECT trim(cited) AS source, coalesce(string_agg(DISTINCT nullif(page, '')), '') AS pages FROM c GROUP BY 1"""
+)
+def cited_page_sets(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.cited_pages(answers(spark, d)).select("source", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("SELECT item_id, substr(sha256(text), 1, 16) AS query_hash FROM benchmark")
+def query_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", T.query_hash(F.col("text")).alias("query_hash"))
+
+
+@query(
+    r"""SELECT p_partkey, regexp_matches(f, '^[\p{L}\p{N}_\-. ]+$') AS safe FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '.txt' WHEN 1 THEN '../' || p_name ELSE p_name || ':' END AS f FROM part)"""
+)
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey") % 3
+    name = F.when(n == 0, F.concat("p_name", F.lit(".txt"))).when(n == 1, F.concat(F.lit("../"), "p_name")).otherwise(F.concat("p_name", F.lit(":")))
+    return table(spark, d, "part").select("p_partkey", T.is_safe_filename(name).alias("safe"))
+
+
+@query(
+    f"""WITH {MAILS} SELECT id, CASE WHEN id % 3 = 0 THEN '<' || id || '@x>' WHEN id % 3 = 1 THEN 'E' || id
+      ELSE sha256('mails|' || content || '|' || email_from || '||' || chunk_index) END AS item_id FROM mails"""
+)
+def mail_item_ids(spark: SparkSession, d: str) -> DataFrame:
+    number = F.col("id").cast("string")
+    internet = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" <"), number, F.lit("@x> "))).otherwise(F.lit(" "))
+    entry = F.when(F.col("id") % 3 == 1, F.concat(F.lit("E"), number))
+    none = F.lit(None).cast("string")
+    return mails(spark, d).select(
+        "id", T.mail_item_id(internet, entry, F.lit("mails"), F.col("content"), F.col("email_from"), none, F.col("chunk_index")).alias("item_id")
+    )
+
+
+@query(
+    f"""WITH {ASKED}, i AS (SELECT item_id, {INTENT} AS intent FROM asked), c AS (SELECT *, (item_id % 10 / 10.0)::DOUBLE AS confidence FROM i)
+    SELECT item_id, CASE WHEN confidence >= 0.8 THEN 5 ELSE top_k END::INT AS top_k FROM c
+    JOIN (VALUES {', '.join(f"('{k}', {v[0]})" for k, v in T.INTENTS.items())}) p(intent, top_k) USING (intent)"""
+)
+def routed_params(spark: SparkSession, d: str) -> DataFrame:
+    params = F.create_map(*[F.lit(x) for k, v in T.INTENTS.items() for x in (k, v[0])])
+    rows = asked(spark, d).select("item_id", T.intent(F.col("q")).alias("intent"))
+    sure = (F.col("item_id") % 10).cast("int") / F.lit(10.0)
+    return rows.select("item_id", T.routed_top_k(params[F.col("intent")], sure, F.lit(5)).alias("top_k"))
+
+
+@query(
+    """SELECT doc_id, round(c, 2)::DOUBLE AS confidence, c < 0.65 AS flagged FROM (SELECT doc_id,
+      CASE WHEN doc_id % 3 = 0 THEN 0.85 WHEN doc_id % 3 = 1 THEN 0.55 ELSE 0.3 END - CASE WHEN toxic = 1 THEN 0.15 ELSE 0 END AS c FROM labels)"""
+)
+def review_flags(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 3 == 0, "pass").when(F.col("doc_id") % 3 == 1, "partial").otherwise("fail")
+    confidence = F.round(grounding.review_confidence(status, F.col("toxic") == 1), 2)
+    return table(spark, d, "labels").select("doc_id", confidence.alias("confidence"), grounding.needs_review(confidence).alias("flagged"))
+
+
+@query("SELECT lang AS case_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY lang")
+def inventory_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("lang").alias("case_id"), "source")
+    return governance.source_lists(rows).select("case_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS INTEGER) AS n_docs FROM conversations GROUP BY conv_id")
+def saved_set_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("docs"))
+    return governance.set_sizes(sets).select("conv_id", "n_docs")
+
+
+@query(
+    """WITH r AS (SELECT doc_id % 4 AS loops, quality, toxic, doc_id % 7 / 10.0 AS x, doc_id % 3 AS truth FROM labels)
+    SELECT count(*) AS questions, count(*) FILTER (truth > 0) AS with_truth, round(avg(quality), 3) AS avg_faithfulness, round(avg(toxic), 3) AS avg_relevance,
+      round(avg(x), 3)::DOUBLE AS avg_citation_precision, round(avg(x), 3)::DOUBLE AS avg_unsupported_rate, round(avg(CASE WHEN loops > 1 THEN 1.0 ELSE 0.5 END), 3)::DOUBLE AS avg_coverage,
+      round(avg(x) FILTER (truth > 0), 3)::DOUBLE AS avg_precision_at_k, round(avg(x) FILTER (truth > 0), 3)::DOUBLE AS avg_recall_at_k,
+      round(avg(x) FILTER (truth > 0), 3)::DOUBLE AS avg_reciprocal_rank, round(avg(loops), 2) AS avg_seconds, round(avg(loops * 100), 0) AS avg_answer_length,
+      round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 3)::DOUBLE AS grader_pass_rate, round(avg(CASE WHEN loops > 0 THEN 1.0 ELSE 0.0 END), 3)::DOUBLE AS rewrite_rate,
+      CAST(sum(toxic) AS BIGINT) AS total_warnings, CAST(sum(loops) AS BIGINT) AS total_stitched FROM r"""
+)
+def eval_full_report(spark: SparkSession, d: str) -> DataFrame:
+    x, loops = (F.col("doc_id") % 7).cast("double") / 10.0, F.col("doc_id") % 4
+    doc = lambda known: F.struct(known.alias("email_from"), F.lit("").alias("email_subject"), F.lit(None).cast("string").alias("message_id"))
+    docs = F.array(doc(F.lit("a@x")), doc(F.when(loops > 1, "b@x").otherwise("")))
+    rows = table(spark, d, "labels").select(
+        F.col("quality").alias("faithfulness"), F.col("toxic").alias("relevance"),
+        F.array_repeat(F.lit("r"), (F.col("doc_id") % 3).cast("int")).alias("relevant"),
+        *[x.alias(c) for c in ("precision_at_k", "recall_at_k", "reciprocal_rank", "citation_precision", "unsupported_rate")],
+        loops.alias("seconds"), (loops * 100).alias("answer_length"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("grade"),
+        loops.alias("loops"), F.col("toxic").alias("warnings"), loops.alias("stitched"), evaluation.metadata_coverage(docs).alias("coverage"),
+    )
+    return evaluation.full_report(rows)

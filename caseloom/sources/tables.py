@@ -81,18 +81,27 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("append").partitionBy("case_id").parquet(path)
 
 
-def write_records(df: DataFrame, path: str, id_col: str, most_records: int = 10_000) -> int:
-    """Append records as JSON lines after checking ids and number; the number written."""
+def write_records(df: DataFrame, path: str, id_col: str, most_records: int = 10_000, most_mb: float | None = None) -> int:
+    """Append records as JSON lines after checking ids, number and size; the number written."""
     bad = df.where(~F.coalesce(F.col(id_col).rlike("^[A-Za-z0-9_-]+$"), F.lit(False))).limit(1)
     if not bad.isEmpty():
         raise ValueError(f"invalid {id_col}")
     n = df.count()
     if n > most_records:
         raise ValueError(f"more than {most_records} records")
+    if most_mb is not None:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+        if size > most_mb * 1_000_000:
+            raise ValueError(f"more than {most_mb} MB of records")
     df.write.mode("append").json(path)
     return n
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of few rows as one JSON file of nested records."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def case_namespace(case_id: str) -> str:
     """Database name of a case."""
     if not re.fullmatch(r"[A-Za-z0-9_-]+", case_id or ""):

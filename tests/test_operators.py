@@ -487,3 +487,66 @@ def test_agent_risk_uses_claims_and_facts(spark):
     assert got[1]["decision"] == "pass" and got[1]["critical_facts"] == 1 and got[1]["risk"] == 0 and got[1]["citations"] == 3
     assert got[2]["critical_facts"] >= 3 and got[2]["risk"] >= 0.3
     assert got[3]["citations"] == 0 and got[3]["risk"] == 0
+
+
+def test_pii_and_citation_spans_equal_python(spark):
+    import random
+    import re
+
+    from caseloom.functions import patterns as P
+    from caseloom.functions import text as T
+
+    rng = random.Random(8)
+    parts = ["a@b.co", "é 555-123-4567", "123-45-6789", "Passport No: AB123456", "[Source: a/b.txt, p.3]", "[source: c d]", "word ", "\n", "DOB: 1/2/1990 ", "1.2.3.4 ", "x"]
+    texts = ["", *["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(80)]]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i long, t string")
+    for r in df.select("i", "t", T.pii_spans(F.col("t")).alias("p"), T.citation_contexts(F.col("t")).alias("c")).collect():
+        if r["t"] is None:
+            assert r["p"] is None and r["c"] is None
+            continue
+        seen, want = set(), []
+        for name, pattern, _ in P.PII:
+            for m in re.finditer(pattern, r["t"]):
+                if m.span() not in seen:
+                    seen.add(m.span())
+                    want.append((*m.span(), name, m[0]))
+        assert sorted((s["start"], s["end"], s["pii_type"], s["value"]) for s in r["p"]) == sorted(want)
+        assert [s["start"] for s in r["p"]] == sorted(s["start"] for s in r["p"])
+        cited = [(m[1].strip(), r["t"][max(0, m.start() - 60) : m.end() + 60].strip()) for m in re.finditer(P.CITATION, r["t"])]
+        assert [(c["source"], c["context"]) for c in r["c"]] == cited
+
+
+def test_rerank_falls_back(spark):
+    hits = spark.createDataFrame([(1, i, float(i % 4)) for i in range(8)], "query_id long, id long, boosted_score double")
+
+    def broken(df):
+        raise ConnectionError
+
+    out, name = retrieval.rerank_with_fallback(hits, [("service", broken), ("gone", lambda df: F.col("no_such")), ("ids", lambda df: -F.col("id"))], 3)
+    assert name == "ids" and [r["id"] for r in out.orderBy("rank").collect()] == [0, 1, 2]
+    out, name = retrieval.rerank_with_fallback(hits, [("service", broken)], 2)
+    assert name == "none" and [r["id"] for r in out.orderBy("rank").collect()] == [3, 7]
+
+
+def test_retriever_composes_its_stages(spark):
+    rows = []
+    for m in range(6):
+        for c in range(4):
+            rows.append((m * 10 + c, f"mail {m} part {c} pump" if c else f"mail {m} opening", [float(m == 2) + c / 10, 1.0], f"m{m}", None, c, "ann lee", "bob", "pump", ""))
+    rows.append((100, "drawing of it", [0.5, 0.5], "f1", "m2", 0, "", "", "", ""))
+    schema = (
+        "id long, content string, embedding array<double>, message_id string, parent_message_id string, chunk_index int, email_from string,"
+        " email_to string, email_subject string, entity_name string"
+    )
+    chunks = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(1, "mail from ann about drawing", [1.0, 0.4])], "query_id long, query string, query_embedding array<double>")
+    got = retrieval.retrieve(chunks, queries, top_k=2, top_n=6).collect()
+    kinds = {r["origin"] for r in got}
+    assert {"search", "sibling"} <= kinds and ("neighbour" in kinds or "attachment" in kinds)
+    assert len({r["id"] for r in got}) == len(got)
+    ranked = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1)) and len(ranked) <= 6
+    assert [r["boosted_score"] for r in ranked] == sorted((r["boosted_score"] for r in ranked), reverse=True)
+    messages = {r["id"]: f"m{r['id'] // 10}" for r in got if r["id"] < 100}
+    hit = {messages[r["id"]] for r in ranked if r["id"] in messages}
+    assert all({m * 10 + c for c in range(4)} <= {r["id"] for r in got} for m in range(6) if f"m{m}" in hit)
