@@ -41,11 +41,22 @@ def session(app: str = "caseloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir; where that is unset (tests), in a
-    temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where that is unset, a temporary one for a driver that
+    runs all tasks itself (tests); on a cluster RuntimeError, as executors share no such folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="caseloom-"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="caseloom-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
