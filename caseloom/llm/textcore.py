@@ -145,7 +145,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     rolled = words.copy()
     for k in range(1, width):
         rolled *= step
-        rolled[: len(words) - k] += words[k:]
+        if k < len(words):
+            rolled[:-k] += words[k:]
     owner = np.repeat(np.arange(len(n_words)), n_words)
     left = np.repeat(offsets[1:], n_words) - np.arange(len(words))
     keep = left >= width

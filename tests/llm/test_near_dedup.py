@@ -109,3 +109,36 @@ def test_segments_do_not_change_hashes(monkeypatch):
     monkeypatch.setattr(textcore, "SEGMENT_BYTES", 500)
     assert (textcore.word_hashes(text)[0] == whole).all()
     assert len(np.unique(whole)) == len(WORDS)
+
+
+@pytest.mark.parametrize("total", range(7))
+def test_shingles_of_runs_with_few_words(total):
+    """Every way to deal up to six words to texts that are hashed together."""
+    words = [f"w{i}" for i in range(total)]
+    for cuts in range(1 << max(0, total - 1)):
+        texts = [[]]
+        for i, w in enumerate(words):
+            texts[-1].append(w)
+            if cuts >> i & 1:
+                texts.append([])
+        found = []
+        for first, last, hashes, offsets, _ in textcore.batch_word_hashes([" ".join(t).encode() for t in texts]):
+            _, limits = textcore.shingles(hashes, offsets, 5)
+            found += np.diff(limits).tolist()
+        assert found == [len(shingle_set(" ".join(t))) for t in texts]
+
+
+def test_short_texts_alone_in_a_run(spark):
+    schema = "doc_id long, text string"
+    long = " ".join(WORDS[:500] * 700)  # over SEGMENT_BYTES: what lies between two of these is a run
+    assert len(long) > textcore.SEGMENT_BYTES
+    tables = [
+        [(1, "token = abc")],
+        [(1, "a"), (2, "a b")],
+        [(1, None), (2, "a b")],
+        [(1, long), (2, "a b"), (3, long), (4, "a"), (5, "a"), (6, long + " b")],
+    ]
+    for rows in tables:
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, schema).coalesce(1), 0.85).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == expected(rows, "0.85")
+        assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingle_set(t)) for i, t in rows}
