@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import (
+    divergence,
     embedding_dedup,
     html_text,
+    language,
     mixing,
     near_dedup,
     packing,
+    runs,
     secrets,
     sharding,
     simhash,
@@ -74,6 +77,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -86,6 +101,9 @@ def queries() -> dict[str, Query]:
         op8_packing,
         op9_near_dedup,
         op10_secrets,
+        op11_language_id,
+        op12_source_divergence,
+        op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -120,5 +138,29 @@ EMBEDDING_DEDUP_SQL = (
 )
 
 
+DIVERGENCE_SQL = """WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  o AS (SELECT row_id, lang, source, unnest(ws) AS term FROM d),
+  t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row_id) AS docs FROM o GROUP BY ALL),
+  v AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY lang, term HAVING sum(docs) >= 30),
+  k AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY lang),
+  c AS (SELECT t.lang, t.source, t.term, t.n FROM t JOIN v ON t.lang = v.lang AND t.term = v.term),
+  s AS (SELECT g.lang, g.source, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+  p AS (SELECT s.lang, s.source, v.term, coalesce(c.n, 0) AS n,
+      1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (s.total + 5 * k.v) AS p, 1 + (1000000000 * (v.n + 5)) // (k.total + 5 * k.v) AS q
+    FROM s JOIN v ON s.lang = v.lang JOIN k ON k.lang = s.lang
+    LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = v.term),
+  m AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_near_dedup": NEAR_DEDUP_SQL}
+    return {"op7_embedding_dedup": EMBEDDING_DEDUP_SQL, "op9_near_dedup": NEAR_DEDUP_SQL, "op12_source_divergence": DIVERGENCE_SQL}
