@@ -24,14 +24,14 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm.runtime import scratch_path
 
 MIB = 1 << 20
-#: Arrivals in which a table is appended; each reads the whole table once.
+#: Arrivals in which a table is appended; one pass over it writes the files of all of them.
 ARRIVALS = 8
 SNAPSHOT_EVERY = 16
 #: vacuum() keeps the files of so many versions, and files younger than so many seconds.
@@ -177,9 +177,14 @@ class ShardedTable:
         is given and of at most the target size, and list them."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", most_rows).parquet(folder)
+        return self._listed(folder, generation)
+
+    def _listed(self, folder: str, generation: int) -> list[Shard]:
+        """The files written into folder, those above the target split."""
+        path = self._path(folder)
         found = [
             (s.getPath().toString(), s.getLen())
-            for s in self._fs().listStatus(self._path(folder))
+            for s in (self._fs().listStatus(path) if self._fs().exists(path) else [])
             if s.getPath().getName().startswith("part-")
         ]
         written = [Shard(p, n, self.policy.tier(n), generation) for p, n in sorted(found)]
@@ -200,6 +205,19 @@ class ShardedTable:
         at = self.version()
         return self.commit([*self.shards(at), *self._write(df, 0, most_rows)], at)
 
+    def stage(self, df: DataFrame, arrival: Column, arrivals: int) -> list[str]:
+        """Write df in one pass, each row to the folder of its arrival, a number from 0; the
+        folders in order, for append_folder().  No manifest names their files yet."""
+        root = f"{self.root}/data/{uuid.uuid4().hex}"
+        name = f"arrival{uuid.uuid4().hex}"  # no column of df
+        df.withColumn(name, arrival).write.partitionBy(name).parquet(root)
+        return [f"{root}/{name}={k}" for k in range(arrivals)]
+
+    def append_folder(self, folder: str) -> int:
+        """Add the files of a staged folder, if any, as one version."""
+        at = self.version()
+        return self.commit([*self.shards(at), *self._listed(folder, 0)], at)
+
     def compact(self, threads: int = 4) -> int:
         """One round of merges, committed as one version; 0 if there is nothing to merge.
 
@@ -237,9 +255,12 @@ class ShardedTable:
         keep = {s.path for v in kept for s in self.shards(v)}
         before = (time.time() - least_age) * 1000
         fs, gone = self._fs(), 0
-        folder = self._path(f"{self.root}/data")
-        for sub in fs.listStatus(folder) if fs.exists(folder) else []:
-            for f in fs.listStatus(sub.getPath()):
+        folders = [self._path(f"{self.root}/data")] if fs.exists(self._path(f"{self.root}/data")) else []
+        while folders:
+            for f in fs.listStatus(folders.pop()):
+                if f.isDirectory():
+                    folders.append(f.getPath())
+                    continue
                 old = f.getModificationTime() <= before
                 if old and f.getPath().getName().startswith("part-") and f.getPath().toString() not in keep:
                     fs.delete(f.getPath(), False)
@@ -252,44 +273,50 @@ class ShardedTable:
                     fs.delete(self._path(self._name(kind, n)), False)
         return gone
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with _shard, the number of their file in the manifest."""
+    def read(self, version: int | None = None, shard: str = "_shard") -> DataFrame:
+        """The rows of a version with, under the name of shard, the number of their file in the
+        manifest; ValueError if the table has a column of that name."""
+        if shard.lower() in {n.lower() for n in self.schema.names}:
+            raise ValueError(f"the table has a column {shard}: give another name")
         listed = self.shards(version)
         if not listed:
-            return self.spark.createDataFrame([], self.schema).withColumn("_shard", F.lit(0))
+            return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(0))
+        about = [(_name(s.path), i) for i, s in enumerate(listed)]
+        return self._rows(listed, about, f"file string, `{shard}` int", self.schema.names)
+
+    def _rows(self, listed: list[Shard], about: list[tuple], schema: str, columns: list[str]) -> DataFrame:
+        """Columns of the rows of listed files, with what is said about each file's name."""
         rows = self.spark.read.schema(self.schema).parquet(*[s.path for s in listed])
-        names = self.spark.createDataFrame(
-            [(s.path.rsplit("/", 1)[1], i) for i, s in enumerate(listed)], "_file string, _shard int"
-        )
+        told = self.spark.createDataFrame(about, schema)
+        extra = [told[c] for c in told.columns if c != "file"]
         # a file name holds a unique id; one row a shard, broadcast by its measured size only
-        return rows.withColumn("_file", F.col("_metadata.file_name")).join(names, "_file").drop("_file")
+        file = rows.metadataColumn("_metadata").getField("file_name")
+        return rows.join(told, file == told["file"]).select(*[rows[f"`{c}`"] for c in columns], *extra)
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[1]
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, policy: Policy | None = None, arrivals: int = 1) -> DataFrame:
     """(doc_id, shard, tier, generation, shard_bytes, version) for each row of docs.
 
-    The rows are appended in the given number of arrivals, compacted after each, and read back
-    from the last version.  Nulls, empty and long texts, repeated rows and other columns are
-    stored as they are; an empty table gives no row.  No shard is above the target, unless it is
-    a single row: rows are never split.
+    One pass over docs writes its rows as so many arrivals; these are appended one by one,
+    compacted after each, and the rows' files are read back from the last version.  Nulls, empty and long texts,
+    repeated rows and other columns, whatever their names, are stored as they are; an empty table
+    gives no row.  No shard is above the target, unless it is a single row: rows are never split.
     """
     spark = docs.sparkSession
     store = ShardedTable(spark, root or scratch_path(spark, "shards"), docs.schema, policy)
-    most_rows = 0
-    for k in range(arrivals):
-        part = docs if arrivals == 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k)
-        store.append(part, most_rows)
-        if not most_rows and k + 1 < arrivals:  # from now on, files of about the lowest tier
-            size = sum(s.size for s in store.shards())
-            most_rows = max(1, store.read().count() * store.policy.base // size) if size else 0
+    for folder in store.stage(docs, F.pmod(F.xxhash64(docs["doc_id"]), F.lit(arrivals)), arrivals):
+        store.append_folder(folder)
         store.compact_fully()
-        store.vacuum(versions=1, least_age=0)  # this table has no other writer or reader
+    store.vacuum(versions=1, least_age=0)  # this table has no other writer or reader
     version = store.version()
-    about = spark.createDataFrame(
-        [(i, s.tier, s.generation, s.size) for i, s in enumerate(store.shards(version))],
-        "_shard int, tier int, generation int, shard_bytes long",
-    )
-    return (
-        store.read(version).join(about, "_shard")
-        .select("doc_id", F.col("_shard").alias("shard"), "tier", "generation", "shard_bytes", F.lit(version).alias("version"))
-    )
+    listed = store.shards(version)
+    about = [(_name(s.path), i, s.tier, s.generation, s.size, version) for i, s in enumerate(listed)]
+    schema = "file string, shard int, tier int, generation int, shard_bytes long, version int"
+    if not listed:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields[1:]]
+        return docs.select(docs["doc_id"], *none).limit(0)
+    return store._rows(listed, about, schema, ["doc_id"])

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.llm import secrets, sharding, simhash
 
@@ -307,8 +308,8 @@ def test_the_query_appends_small_arrivals(spark, monkeypatch):
     from caseloom.llm import queries
 
     seen = []
-    append = sharding.ShardedTable.append
-    monkeypatch.setattr(sharding.ShardedTable, "append", lambda self, df, *a: seen.append(append(self, df, *a)) or seen[-1])
+    append = sharding.ShardedTable.append_folder
+    monkeypatch.setattr(sharding.ShardedTable, "append_folder", lambda self, folder: seen.append(append(self, folder)) or seen[-1])
     rows = spark.createDataFrame([(i, "x" * i) for i in range(50)], "doc_id long, text string")
     monkeypatch.setattr(queries, "table", lambda *a: rows)
     got = queries.op5_sharding(spark, "").collect()
@@ -321,3 +322,91 @@ def test_merges_stay_within_the_target():
     groups = SMALL.merges(shards)
     assert all(sum(s.size for s in g) <= SMALL.target for g in groups)
     assert len({s.path for g in groups for s in g}) == sum(map(len, groups)) >= 55
+
+
+CLASHES = "tier generation shard_bytes _shard shard version file _metadata arrival Tier2 _file".split()
+
+
+def test_columns_named_like_those_of_the_store(spark, tmp_path):
+    rows = [(i, "x" * i, *[f"{c}{i}" for c in CLASHES]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    got = sharding.shard_documents(df, root=f"file://{tmp_path}/t", policy=SMALL, arrivals=3).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(60)) and all(isinstance(r["tier"], int) for r in got)
+    store = sharding.ShardedTable(spark, f"file://{tmp_path}/t", df.schema, SMALL)
+    with pytest.raises(ValueError, match="_shard"):
+        store.read()
+    stored = store.read(shard="number")
+    assert sorted(map(tuple, stored.drop("number").collect())) == sorted(rows)
+    nested = spark.createDataFrame([(None, None, 1), (2, "b", 2), (2, "b", 2)], "doc_id string, text string, `a.b` int")
+    assert sharding.shard_documents(nested, policy=SMALL, arrivals=2).count() == 3
+
+
+def plain_merges(sizes, policy):
+    """Groups of file names to merge, from the rules in words: within a tier by size, cut where the
+    target would be passed; a group counts with fan_in files or half a target, and two files."""
+    tiers = {}
+    for name, size in sizes.items():
+        t = 0
+        while size > policy.base * policy.fan_in**t:
+            t += 1
+        if 2 * size < policy.target - policy.target % 2:
+            tiers.setdefault(t, []).append((size, name))
+    out = set()
+    for members in tiers.values():
+        group, total = [], 0
+        for size, name in [*sorted(members), (policy.target + 1, None)]:
+            if group and total + size > policy.target:
+                last = name is None
+                if len(group) > 1 and (not last or len(group) >= policy.fan_in or 2 * total >= policy.target):
+                    out.add(frozenset(group))
+                group, total = [], 0
+            group.append(name)
+            total += size
+    return out
+
+
+def test_equals_a_plain_compactor(spark, tmp_path):
+    """Every version of a growing table against a model that keeps names, sizes and rows in Python."""
+    rng = random.Random(12)
+    store = sharding.ShardedTable(spark, f"file://{tmp_path}/t", T.StructType.fromDDL("doc_id long, text string"), SMALL)
+    rows, held, merged = [], {}, 0
+
+    def contents():
+        found = {}
+        for r in store.read().collect():
+            found.setdefault(r["_shard"], []).append((r["doc_id"], r["text"]))
+        return {s.path: (s.size, sorted(found[i])) for i, s in enumerate(store.shards())}
+
+    for k in range(4):
+        new = [(100 * k + i, rng.randbytes(rng.choice([10, 100, 900])).hex()) for i in range(rng.randint(3, 60))]
+        rows += new
+        df = spark.createDataFrame(new, "doc_id long, text string").repartition(4)
+        store.append_folder(store.stage(df, F.lit(0), 1)[0])
+        now = contents()
+        assert all(now[p] == held[p] for p in held) and sorted(r for p in now if p not in held for r in now[p][1]) == sorted(new)
+        while True:
+            before = now
+            want = plain_merges({p: n for p, (n, _) in before.items()}, SMALL)
+            version = store.compact()
+            assert bool(version) == bool(want)
+            if not version:
+                break
+            merged += len(want)
+            now = contents()
+            gone = set(before) - set(now)
+            assert gone == {p for g in want for p in g}
+            made = [now[p][1] for p in now if p not in before]
+            assert sorted(r for m in made for r in m) == sorted(r for p in gone for r in before[p][1])
+            assert len(made) == len(want)  # each group gives one file within the target
+        held = now
+    assert merged > 2 and sorted(r for _, part in held.values() for r in part) == sorted(rows)
+
+
+def test_redaction_keeps_columns_named_like_its_own(spark):
+    names = ["secret_scan_base", "secret_scan_all", "secret_scan_text", "Secret_Scan_Base2"]
+    df = spark.createDataFrame(
+        [(1, "token = 0123456789abcdef0123456789abcdef", "b", "a", "t", "x"), (2, None, "b", "a", "t", "x")],
+        "doc_id long, text string, " + ", ".join(f"{n} string" for n in names),
+    )
+    got = sorted(map(tuple, secrets.redact(df).collect()))
+    assert got == [(1, "[SECRET]", "b", "a", "t", "x"), (2, None, "b", "a", "t", "x")]
