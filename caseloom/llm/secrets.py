@@ -206,11 +206,12 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, one))
 
 
-BASE, ALL = "secret_scan_base", "secret_scan_all"
+BASE, ALL, MASKED = NAMES = ("secret_scan_base", "secret_scan_all", "secret_scan_text")
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns BASE and ALL: sorted arrays of spans (start, kind, end).
+    """docs with the columns BASE and ALL: sorted arrays of spans (start, kind, end).  Columns of
+    these names in docs are replaced.
 
     Positions are code points, end exclusive; the order is by start, then kind as in KINDS.
     """
@@ -250,9 +251,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mask; overlapping spans are replaced once.
 
     All rows and columns stay; n_chars, where there is such a column, is counted anew for
-    changed texts.  A null text stays null.
+    changed texts.  A null text stays null.  Columns named as those of with_spans() stay too.
     """
-    rows = with_spans(docs)
+    kept = {c: f"_own_{c}" for c in docs.columns if c.lower() in NAMES}
+    rows = with_spans(docs.withColumnsRenamed(kept))
     text = F.col("text").cast("string")
     def part(cut: Column, start: Column, stop: Column) -> Column:
         """The text from start to stop, from the blocks that hold it."""
@@ -276,15 +278,15 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
     masked = F.when(F.size(ALL) > 0, _let(pieces, written)).otherwise(text)
-    out = rows.withColumn("secret_scan_text", masked)
+    out = rows.withColumn(MASKED, masked)
     changed = F.size(ALL) > 0
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.col("secret_scan_text").alias("text"))
+            columns.append(F.col(MASKED).alias("text"))
         elif name == "n_chars":
             kind = docs.schema["n_chars"].dataType
-            columns.append(F.when(changed, F.length("secret_scan_text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
+            columns.append(F.when(changed, F.length(MASKED)).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
         else:
-            columns.append(F.col(name))
+            columns.append(F.col(kept.get(name, name)).alias(name))
     return out.select(*columns)
