@@ -61,6 +61,11 @@ _NOISE_PART = re.compile(
     r"|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|tags"
     r"|skip|copyright|disclaimer|gdpr|form)\d*"
 )
+#: Of these, parts that an article's own sections have in their names too: within an article they
+#: are one vote, which the words of a block can outvote.
+_WEAK_PART = re.compile(r"(?:header|masthead|banner|alert|copyright|disclaimer|form|tags|search|skip|overlay|widget|module)\d*")
+#: Parts by which the element of an article is one of readers' comments.
+_COMMENT_PART = re.compile(r"(?:comments?|commentlist|disqus|replies|reply|respond)\d*")
 #: Parts that go with these in names of page elements, and words that only phrases have.
 _LAYOUT = frozenset(
     "site main page top bottom left right upper lower inner outer global primary secondary first last box bar wrap wrapper"
@@ -102,40 +107,54 @@ class Block:
     region: int = 0
     main: bool = False
     noise: bool = False
+    doubt: bool = False
     heading: bool = False
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
 
 
-def _noisy_name(value: str, strict: bool) -> bool:
-    """Whether a class or id names something that is no article: one of its parts does; where
-    strict the last one, or one among layout words.  Phrases are titles, not names of elements."""
+def _name_parts(value: str) -> Iterator[list[str]]:
+    """The parts of each name in a class or id; phrases are titles, not names of elements."""
     for name in value.split():
         parts = [x for x in re.split(r"[-_\W]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x]
-        if len(parts) > 2 and not _PHRASE.isdisjoint(parts[1:-1]):
-            continue
-        noisy = [bool(_NOISE_PART.fullmatch(x)) for x in parts]
+        if len(parts) <= 2 or _PHRASE.isdisjoint(parts[1:-1]):
+            yield parts
+
+
+def _noisy_name(value: str, strict: bool, pattern: re.Pattern = _NOISE_PART, weak: bool = True) -> bool:
+    """Whether a class or id names something that is no article: one of its parts does; where
+    strict the last one, or one among layout words; weak: whether weak parts count."""
+    for parts in _name_parts(value):
+        noisy = [bool(pattern.fullmatch(x)) and (weak or not _WEAK_PART.fullmatch(x)) for x in parts]
         layout = all(n or x in _LAYOUT or x.isdigit() for n, x in zip(noisy, parts, strict=True))
         if any(noisy) and (not strict or noisy[-1] or layout):
             return True
     return False
 
 
-def _is_noise(name: str, attrs: list[tuple[str, str]], in_main: bool) -> bool:
+def _is_noise(name: str, attrs: list[tuple[str, str]], in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether only its words can tell."""
+    if in_main and name == "fieldset":
+        return False, True
     if name in _NOISE_TAGS or (name == "header" and not in_main):
-        return True
+        return True, False
     if "-" in name and _noisy_name(name, True):
-        return True
-    if not attrs or name in ("html", "body", "article", "main") or name in _HEADINGS:
-        return False
+        return True, False
+    if not attrs or name in ("html", "body", "main") or name in _HEADINGS:
+        return False, False
+    if name == "article":
+        return any(k in ("class", "id") and _noisy_name(v, True, _COMMENT_PART) for k, v in attrs), False
+    doubt = False
     for key, value in attrs:
         if key == "hidden" or (key == "style" and _HIDDEN.search(value)):
-            return True
+            return True, False
         if key == "role" and value.strip().lower() in _NOISE_ROLES:
-            return True
+            return True, False
         if key in ("class", "id") and _noisy_name(value, key == "id"):
-            return True
-    return False
+            if not in_main or _noisy_name(value, key == "id", weak=False):
+                return True, False
+            doubt = True
+    return False, doubt
 
 
 def _tag_end(html: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
@@ -185,7 +204,7 @@ def _comment_end(html: str, at: int) -> int:
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in order, with the element hints."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, noise, main, region
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, noise, main, region, doubt
     opened: dict[str, int] = {}  # how many of each name are on the stack
     block = Block()
     regions = links = 0
@@ -198,8 +217,8 @@ def blocks(html: str) -> list[Block]:
             block.text = text
             block.linked = len(" ".join("".join(block.link_parts).split()))
             found.append(block)
-        _, noise, main, region = stack[-1] if stack else ("", False, False, 0)
-        block = Block(region=region, main=main, noise=noise, heading=any(s[0] in _HEADINGS for s in stack[-3:]))
+        _, noise, main, region, doubt = stack[-1] if stack else ("", False, False, 0, False)
+        block = Block(region=region, main=main, noise=noise, doubt=doubt, heading=any(s[0] in _HEADINGS for s in stack[-3:]))
 
     def add(text: str) -> None:
         if text:
@@ -268,12 +287,12 @@ def blocks(html: str) -> list[Block]:
             close(("p",), True)
             if name in _HEADINGS:
                 close(tuple(_HEADINGS), True)
-        _, noise, main, region = stack[-1] if stack else ("", False, False, 0)
-        here = _is_noise(name, attrs, main)
+        _, noise, main, region, doubt = stack[-1] if stack else ("", False, False, 0, False)
+        here, unsure = _is_noise(name, attrs, main)
         if name in _MAIN_TAGS and not noise:
             regions += 1
             main, region = True, regions
-        stack.append((name, noise or here, main, region))
+        stack.append((name, noise or here, main, region, doubt or unsure))
         opened[name] = opened.get(name, 0) + 1
         if inline:
             links += 1
@@ -303,9 +322,11 @@ def first_pass(block: Block, has_main: bool, listed: bool = True) -> int:
     link_density = block.linked / len(block.text)
     if link_density > (0.8 if block.main else 0.33) and n < 60:
         return BAD
+    if block.main and block.doubt and n < 15:
+        return BAD  # a name against it, and too few words for it
     if n < 8:
         return OPEN
-    if block.main:
+    if block.main and not block.doubt:
         return GOOD
     if block.heading or n < 15:
         return OPEN
@@ -349,6 +370,12 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
     return out
 
 
+def _is_sentence(block: Block) -> bool:
+    """A block that ends a sentence, has four words and hardly a link."""
+    _, n = _n_words(block.text)
+    return n >= 4 and not block.heading and 5 * block.linked < len(block.text) and bool(_SENTENCE_END.search(block.text[-3:]))
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; '' for a null, empty or text-free page."""
     if not html:
@@ -357,7 +384,11 @@ def main_text(html: str | None) -> str:
     has_main = any(b.main and not b.noise for b in found)
     words = [w for b in found if not b.noise and 3 * b.linked <= len(b.text) for w in _WORD.findall(b.text.lower())]
     listed = _listed_share(words) >= 0.15
-    labels = second_pass(found, [first_pass(b, has_main, listed) for b in found])
+    first = [first_pass(b, has_main, listed) for b in found]
+    if not has_main and GOOD not in first:
+        # nothing long enough to decide: sentences outside of links are the text
+        first = [GOOD if label == OPEN and _is_sentence(b) else label for b, label in zip(found, first, strict=True)]
+    labels = second_pass(found, first)
     return " ".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

@@ -133,6 +133,31 @@ def test_extract(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+SENTENCE = "It was not the end of the story that we had told to them on the way."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<main><article><p>{p}</p></article><article class='comment'><p>{p} I agree.</p></article></main>", "{p}"),
+        ("<article><p>{p}</p></article><article id='comment-12'><p>{p}</p></article>", "{p}"),
+        ("<article class='post comments-open'><p>{p}</p></article>", "{p}"),
+        ("<article><div class='content-header'><p>{p}</p></div><p>{p}</p></article>", "{p} {p}"),
+        ("<article><div class='red-alert'><p>{p}</p></div></article>", "{p}"),
+        ("<article><section class='copyright law'><p>{p}</p></section></article>", "{p}"),
+        ("<article><fieldset><p>{p}</p></fieldset><p>{p}</p></article>", "{p} {p}"),
+        ("<article><p>{p}</p><div class='alert'>Sign up now</div><div class='newsletter-box'><p>{p}</p></div></article>", "{p}"),
+        ("<article><p>{p}</p><div class='notice'><p>{p}</p></div><div class='ad'>{p}</div></article>", "{p}"),
+        ("<body><h2>Title</h2><p>A short line it is.</p><p>And a second one here.</p><ul><li><a href=x>Home</a></ul></body>",
+         "Title A short line it is. And a second one here."),
+        ("<body><div class='menu'>Go to the next page.</div><p>Only this one counts.</p></body>", "Only this one counts."),
+        ("<body><ul><li><a href=x>Go to it now.</a><li><a href=y>Come to us here.</a></ul></body>", ""),
+    ],
+)
+def test_names_are_votes_within_articles(page, want):
+    assert html_text.main_text(page.replace("{p}", SENTENCE)) == want.replace("{p}", SENTENCE)
+
+
 def test_open_blocks_follow_their_neighbours():
     b = [html_text.Block(text=str(i)) for i in range(5)]
     assert html_text.second_pass(b, [1, 0, 0, 0, -1]) == [1, 1, -1, -1, -1]
