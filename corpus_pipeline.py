@@ -39,8 +39,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Of repeated rows of an id one stays.  Rows with a null id stay, and so do null and empty texts
-    and those without words, which are copies of nothing.
+    Of repeated rows of an id one stays, and one of each text where they differ.  Rows with a null
+    id stay, and so do null and empty texts and those without words, which are copies of nothing.
     """
     verdict = durable(near_dedup.near_duplicates(docs, SIMILARITY))
     gone = verdict.where("not kept").select("doc_id").distinct()
@@ -52,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if twice.isEmpty():
         return left
     once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    repeated = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated)
 
 
