@@ -82,3 +82,21 @@ def test_mixing_shapes_the_sequences(spark, tmp_path, monkeypatch):
         found.append((sum(source[i] == "hot" for i in early) / len(early), {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in got}))
     assert found[0][1] != found[1][1]
     assert found[0][0] > 0.7 and 0.25 < found[1][0] < 0.45
+
+
+def test_near_dedup_keeps_each_text_of_an_id(spark):
+    one, other = "the first text of this id with more than five words", "a second and quite different text of the same id"
+    rows = [(1, one), (1, one), (1, other), (2, one + " "), (3, "a b"), (4, "a"), (5, None), (5, None), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, one), (1, other), (3, "a b"), (4, "a"), (5, None), (None, one)], key=str)
+
+
+@pytest.mark.parametrize("rows", [[], [("", "s")] * 2, [("token = abc", "s")], [("one source alone " * 200_000, "s"), ("a b", "s")]])
+def test_small_and_long_tables(spark, tables, tmp_path, rows):
+    """An empty table, one source, texts of a few words and a very long one through all stages."""
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r["doc_id"] for r in got} == set(range(len(rows)))
