@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
-from caseloom.operators.retrieval import few
+from caseloom.operators.retrieval import slices_of
 
 try:
     import ahocorasick
@@ -78,17 +78,18 @@ def supported_facts(claims: DataFrame, docs: DataFrame, least: int = 2) -> DataF
 
     claims(claim_id, claim) x docs(doc_id, content): a document supports a value that its
     normalised text contains.  One pass over each text finds all values at once by an automaton
-    of them, which is broadcast; only counts are shuffled.  More than MOST_VALUES distinct values
-    at a time raise.
+    of them, which is broadcast; only counts are shuffled.  The texts are read once for each
+    MOST_VALUES distinct values.
     """
     values = claims.select(
         "claim_id", F.explode(F.array_distinct(T.critical_values(F.col("claim")))).alias("value")
     ).withColumn("norm", T.normalise_value(F.col("value")))
     distinct = values.select("norm").distinct().where("norm != ''")
-    if not few(distinct, MOST_VALUES):
-        raise ValueError(f"more than {MOST_VALUES} values at a time: split the claims")
     body = docs.select(T.normalise_content(F.coalesce(F.col("content"), F.lit(""))).alias("body"))
-    counts = _texts_with(body, [r["norm"] for r in distinct.collect()])
+    counts = None
+    for part in slices_of(distinct, "norm", MOST_VALUES):
+        found = _texts_with(body, [r["norm"] for r in part.collect()])
+        counts = found if counts is None else counts.unionByName(found)
     out = values.join(counts, "norm", "left").withColumn("supporting_docs", F.coalesce("n", F.lit(0)).cast("long"))
     return out.select(
         "claim_id", "value", "supporting_docs", (F.col("supporting_docs") >= least).alias("is_sufficiently_supported")

@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 from caseloom.functions import text as T
 from caseloom.functions.vectors import cosine
 from caseloom.operators.topn import BLOCK_SCORES, Best, best_rows, ids_of
+from caseloom.session import durable
 
-#: Queries, and tokens of queries, that are broadcast to the scan of the chunks; their number is
-#: counted first.
+#: Queries, and tokens of queries, that are broadcast to one scan of the chunks; their number is
+#: counted first, and more queries take further scans.
 MOST_QUERIES, MOST_TOKENS = 10_000, 1_000_000
 
 
@@ -30,6 +31,15 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def slices_of(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """df in parts of about `most` rows by a hash of key; df itself where it has no more."""
+    if few(df, most):
+        return [df]
+    kept = durable(df)
+    parts = -(-kept.count() // most)
+    return [kept.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+
+
 @dataclass(frozen=True)
 class CaseScope:
     """The only way to a case's chunks: a scope without a case id cannot be made."""
@@ -97,11 +107,18 @@ def semantic_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, similarity, rank): the n chunks nearest to each query's vector.
 
     Products of the queries' matrix with blocks of chunks; chunks without a vector, or with one of
-    another length or of norm 0, have no similarity and are left out.  Queries against all chunks
-    is the operator's task: more than MOST_QUERIES at a time raise.
+    another length or of norm 0, have no similarity and are left out.  The chunks are scanned once
+    for each MOST_QUERIES queries.
     """
-    if not few(queries, MOST_QUERIES):
-        raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
+    found = None
+    for part in slices_of(queries, "query_id", MOST_QUERIES):
+        rows = _semantic_slice(chunks, part, n)
+        found = rows if found is None else found.unionByName(rows)
+    return _top(found, n, F.desc_nulls_last("similarity"), F.asc("id"))
+
+
+def _semantic_slice(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, similarity): each task's n nearest chunks of each query."""
     asked = queries.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where("v is not null").toArrow()
     names, vectors = (asked[c].combine_chunks() for c in ("query_id", "v"))
     width = int(pc.max(pc.list_value_length(vectors)).as_py() or 1) if len(names) else 1
@@ -118,8 +135,7 @@ def semantic_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
             best.add_block(ids[at : at + step], scores)
 
     rows = chunks.where("embedding is not null").select("id", F.col("embedding").cast("array<double>"))
-    found = best_rows(rows, names, "similarity", n, "double", fill)
-    return _top(found, n, F.desc_nulls_last("similarity"), F.asc("id"))
+    return best_rows(rows, names, "similarity", n, "double", fill)
 
 
 def keyword_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ shortest extent that holds all query words adds the mean weight over its length.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caseloom.operators.retrieval import MOST_QUERIES, few
+from caseloom.operators.retrieval import MOST_QUERIES, slices_of
 from caseloom.operators.topn import Best, best_rows, ids_of
 
 #: English words without a rank.
@@ -109,14 +110,14 @@ def lexemes(text: str) -> list[tuple[str, int]]:
     return [(stem(w), n) for n, w in enumerate(_WORD.findall(text.lower()), 1) if w not in STOP]
 
 
-def parse(query: str) -> list[list[tuple[bool, tuple[str, ...]]]]:
-    """Alternatives of conjunctions of (wanted, stems of a word or phrase)."""
+def parse(query: str, split: Callable[[str], list[tuple[str, int]]] = lexemes) -> list[list[tuple[bool, tuple[str, ...]]]]:
+    """Alternatives of conjunctions of (wanted, stems of a word or phrase), as split makes them."""
     out: list[list[tuple[bool, tuple[str, ...]]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if word.lower() == "or" and not minus:
             out.append([])
             continue
-        stems = tuple(s for s, _ in lexemes(phrase or word))
+        stems = tuple(s for s, _ in split(phrase or word))
         if stems:
             out[-1].append((not minus, stems))
     return [c for c in out if any(wanted for wanted, _ in c)]
@@ -154,11 +155,20 @@ def cover_density(index: dict[str, list[int]], stems: set[str]) -> float:
 def ranked_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, score, rank): the n best chunks for each query.
 
-    The parsed queries travel with the task.  Equal conjunctions of all queries are one, found by
-    its longest stem, so a chunk is stemmed once and meets only conjunctions that it may match.
+    The parsed queries travel with the task, MOST_QUERIES at a time.  Equal conjunctions of all
+    queries are one, found by its longest stem, so a chunk is stemmed once and meets only
+    conjunctions that it may match.  An index (operators.text_index) spares the stemming.
     """
-    if not few(queries, MOST_QUERIES):
-        raise ValueError(f"more than {MOST_QUERIES} queries at a time: split them")
+    found = None
+    for part in slices_of(queries, "query_id", MOST_QUERIES):
+        rows = _ranked_slice(chunks, part, n)
+        found = rows if found is None else found.unionByName(rows)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def _ranked_slice(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, score): each task's n best chunks of each query."""
     rows = queries.select("query_id", "query").toArrow()  # at most MOST_QUERIES
     names = rows["query_id"].combine_chunks()
     asked: dict[tuple, list[int]] = {}
@@ -186,6 +196,4 @@ def ranked_top(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
                 found, at = np.unique(np.concatenate(owner), return_inverse=True)
                 best.add(found, np.repeat(ids[row : row + 1], len(found)), np.round(np.bincount(at, np.concatenate(score)), 6))
 
-    found = best_rows(chunks.select("id", "content"), names, "score", n, "double", fill)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+    return best_rows(chunks.select("id", "content"), names, "score", n, "double", fill)

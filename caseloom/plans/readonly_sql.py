@@ -40,7 +40,7 @@ class NotReadOnly(ValueError):
 
 def _bare(sql: str) -> str:
     """sql without comments outside of quotes, and without a closing semicolon."""
-    quoted = r"'(?:[^'\\\\]|\\\\.)*'|\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`"
+    quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
     kept = re.sub(rf"({quoted})|--[^\n]*|/\*.*?\*/", lambda m: m[1] or " ", sql, flags=re.S)
     return kept.strip().rstrip(";").strip()
 

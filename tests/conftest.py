@@ -23,3 +23,25 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def files_read():
+    """A function that runs a frame and tells how many files its scans read."""
+
+    def count(df):
+        df.collect()
+        found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                todo.append(node.plan())
+            if name == "FileSourceScanExec":
+                found += node.metrics().apply("numFiles").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+
+    return count
