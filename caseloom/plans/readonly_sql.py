@@ -4,7 +4,8 @@ A statement is parsed by Spark's own parser and its plan is walked before anythi
 Only nodes of queries are allowed, only relations that are the case's views or common table
 expressions in scope, and only built-in functions, none of which calls code by name.  Paths, other
 tables and views, scripts and writing are therefore out of reach, and words within literals and
-names are no obstacle.  The query runs in a session of its own that knows the case's views only.
+names are no obstacle.  The query runs in a session of its own that knows the case's views only,
+and where asked the library's own functions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseloom.functions import registry
+
 MOST_ROWS = 1000
 #: Words refused anywhere in compatible mode.
 BLOCKED = frozenset(
@@ -49,23 +52,24 @@ def _items(found) -> list:
     return [found.apply(i) for i in range(found.size())]
 
 
-def _check_expression(spark: SparkSession, e, names: frozenset[str]) -> None:
+def _check_expression(spark: SparkSession, e, names: frozenset[str], own: frozenset[str] = frozenset()) -> None:
     kind = e.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
         parts = _items(e.nameParts())
         name = parts[-1].lower()
         builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
         known = builtin.functionExists(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
-        if len(parts) > 1 or name in REFUSED or not known:
+        if len(parts) > 1 or name in REFUSED or not (known or name in own):
             raise NotReadOnly(f"function not allowed: {'.'.join(parts)}")
     elif "Python" in kind or "UnresolvedIdentifier" in kind:
         raise NotReadOnly(f"expression not allowed: {kind}")
     for child in _items(e.children()):
-        _check_expression(spark, child, names)
+        _check_expression(spark, child, names, own)
 
 
-def _check(spark: SparkSession, plan, names: frozenset[str]) -> None:
-    """NotReadOnly unless plan and all within it is allowed; names are the relations in scope."""
+def _check(spark: SparkSession, plan, names: frozenset[str], own: frozenset[str] = frozenset()) -> None:
+    """NotReadOnly unless plan and all within it is allowed; names are the relations in scope, own
+    the library's functions."""
     kind = plan.getClass().getSimpleName().rstrip("$")
     if kind not in NODES:
         raise NotReadOnly(f"not a part of a query: {kind}")
@@ -75,20 +79,20 @@ def _check(spark: SparkSession, plan, names: frozenset[str]) -> None:
             raise NotReadOnly(f"no such view: {'.'.join(parts)}")
     if kind == "UnresolvedTableValuedFunction":
         parts = _items(plan.name())
-        if len(parts) != 1 or parts[0].lower() not in TABLE_FUNCTIONS:
+        if len(parts) != 1 or parts[0].lower() not in TABLE_FUNCTIONS | own:
             raise NotReadOnly(f"table function not allowed: {'.'.join(parts)}")
     if kind == "UnresolvedWith":
         for cte in _items(plan.cteRelations()):
-            own = frozenset([cte._1().lower()])
-            _check(spark, cte._2(), names | own if plan.allowRecursion() else names)
-            names = names | own
+            cte_name = frozenset([cte._1().lower()])
+            _check(spark, cte._2(), names | cte_name if plan.allowRecursion() else names, own)
+            names = names | cte_name
     for e in _items(plan.expressions()):
-        _check_expression(spark, e, names)
+        _check_expression(spark, e, names, own)
     for child in [*_items(plan.subqueries()), *_items(plan.children())]:
-        _check(spark, child, names)
+        _check(spark, child, names, own)
 
 
-def validate(spark: SparkSession, sql: str, compatible: bool = False, views: frozenset[str] | set[str] = frozenset()) -> str:
+def validate(spark: SparkSession, sql: str, compatible: bool = False, views: frozenset[str] | set[str] = frozenset(), functions: frozenset[str] = frozenset()) -> str:
     """The statement without comments; NotReadOnly if it is not one single query over views."""
     text = _bare(sql)
     if not re.match(r"(?i)(select|with|explain)\b", text):
@@ -102,16 +106,20 @@ def validate(spark: SparkSession, sql: str, compatible: bool = False, views: fro
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
     except Exception as e:
         raise NotReadOnly(f"not a query: {str(e).splitlines()[0]}") from e
-    _check(spark, plan, frozenset(v.lower() for v in views))
+    _check(spark, plan, frozenset(v.lower() for v in views), functions)
     return text
 
 
-def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, limit: int = 200) -> DataFrame:
-    """The first rows of a read-only query over the given views, at most MOST_ROWS."""
-    text = validate(spark, sql, views=set(views))
+def run(spark: SparkSession, views: dict[str, DataFrame], sql: str, limit: int = 200, functions: bool = False) -> DataFrame:
+    """The first rows of a read-only query over the given views, at most MOST_ROWS; functions:
+    whether it may use those of functions.registry."""
+    known = frozenset(registry.SQL_FUNCTIONS) | frozenset(registry.TABLE_FUNCTIONS) if functions else frozenset()
+    text = validate(spark, sql, views=set(views), functions=known)
     own = spark.newSession()
     for name in _SETTINGS:
         own.conf.set(name, spark.conf.get(name))
+    if functions:
+        registry.register(own)
     rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
     for name, df in views.items():
         rows(own._jsparkSession, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
