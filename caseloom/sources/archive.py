@@ -3,10 +3,10 @@
     spark.dataSource.register(ArchiveSource)
     spark.read.format("case_archive").load("s3://bucket/cases")
 
-Files below the path, at any depth: `.mbox` mail archives, `.eml` mails, `.jsonl` records one a line
-and `items*.json` arrays of eDiscovery records.  Mail archives and line files are cut into ranges
+Files below the path, at any depth: `.mbox` mail archives, `.eml` mails, `.jsonl` records one a line,
+as in `part-*.json` files that Spark writes, and `items*.json` arrays of eDiscovery records.  Mail archives and line files are cut into ranges
 of RANGE_BYTES, each a task; a mail or line belongs to the range that it starts in.  Filters on
-custodian (the first folder), file and kind choose files before any is opened; Spark applies all
+custodian (the first folder, without `custodian=`), file and kind choose files before any is opened; Spark applies all
 others.  As a stream, new files come once, in order of modification time, then name.
 
 Paths are any that pyarrow's file systems reach.
@@ -64,12 +64,18 @@ class Found:
 
     @property
     def custodian(self) -> str:
-        return self.file.split("/")[0] if "/" in self.file else ""
+        return _custodian(self.file)
+
+
+def _custodian(file: str) -> str:
+    return file.split("/")[0].removeprefix("custodian=") if "/" in file else ""
 
 
 def _kind(name: str) -> str | None:
     kind = KINDS.get(posixpath.splitext(name)[1].lower())
-    return None if kind == "record_items" and not name.lower().startswith("items") else kind
+    if kind == "record_items" and not name.lower().startswith("items"):
+        return "record_lines" if name.startswith("part-") else None
+    return kind
 
 
 def listed(path: str) -> list[Found]:
@@ -164,7 +170,7 @@ class _Reading:
 
     def read(self, part: Part) -> Iterator[tuple]:
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        custodian = part.file.split("/")[0] if "/" in part.file else ""
+        custodian = _custodian(part.file)
         with system.open_input_file(part.path) as stream:
             for position, row in _rows(_Buffered(stream), part):
                 yield (custodian, part.file, part.kind, position, *row)
