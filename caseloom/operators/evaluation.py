@@ -27,6 +27,24 @@ def reciprocal_rank(retrieved: Column, relevant: Column) -> Column:
     return F.when(F.size(ranks) > 0, F.lit(1.0) / F.try_element_at(ranks, F.lit(1))).otherwise(F.lit(0.0))
 
 
+def rank_metrics(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """(key, precision_at_k, recall_at_k, reciprocal_rank) of retrieved(key, item, rank), ranks from 1,
+    against relevant(key, item), for each key of retrieved: the same as the functions above on
+    lists, by joins, for keys with any number of items.  Repeated items of relevant count once."""
+    good = relevant.select("key", "item").distinct()
+    hits = retrieved.join(good, ["key", "item"], "left_semi").groupBy("key").agg(
+        F.sum((F.col("rank") <= k).cast("long")).alias("first"), F.min("rank").alias("best"),
+        F.count_distinct(F.when(F.col("rank") <= k, F.col("item"))).alias("found"),
+    )
+    wanted = good.groupBy("key").agg(F.count(F.lit(1)).alias("wanted"))
+    rows = retrieved.select("key").distinct().join(hits, "key", "left").join(wanted, "key", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.select(
+        "key", zero(F.col("first") / F.lit(float(k))).alias("precision_at_k"), zero(F.col("found") / F.col("wanted")).alias("recall_at_k"),
+        zero(F.lit(1.0) / F.col("best")).alias("reciprocal_rank"),
+    )
+
+
 def stem(source: Column) -> Column:
     """Base name without its extension, in lower case: gold sources carry no extension."""
     return F.lower(F.regexp_replace(F.regexp_extract(source, r"([^/\\]*)$", 1), r"\.[A-Za-z0-9]+$", ""))

@@ -159,8 +159,13 @@ def document_cards(chunks: DataFrame, most: int = 5000) -> DataFrame:
         F.concat_ws("||", F.coalesce(text("email_subject"), F.lit("")), F.coalesce(text("email_from"), F.lit(""))),
     )
     card = F.coalesce(text("message_id"), pair, F.concat(F.lit("id:"), F.col("id").cast("string")))
-    rows = chunks.groupBy(card.alias("card")).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "id", "content"))).alias("rows")
-    )
-    joined = F.array_join(F.transform("rows", lambda r: r["content"]), "\n\n")
-    return rows.select("card", F.size("rows").cast("long").alias("chunks"), F.substring(joined, 1, most).alias("content"))
+    rows = chunks.withColumn("card", card)
+    # only lengths go by card; texts stay where they are until the first `most` characters are known
+    before = Window.partitionBy("card").orderBy("chunk_index", "id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.where("content is not null").select("card", "chunk_index", "id", (F.length("content") + 2).alias("size"))
+    kept = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < most)
+    texts = rows.where("content is not null").select("card", "id", "chunk_index", "content").join(kept.select("card", "id").distinct(), ["card", "id"], "left_semi")
+    joined = texts.groupBy("card").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "content"))).alias("rows"))
+    content = F.substring(F.array_join(F.transform("rows", lambda r: r["content"]), "\n\n"), 1, most)
+    counted = rows.groupBy("card").agg(F.count(F.lit(1)).alias("chunks"))
+    return counted.join(joined, "card", "left").select("card", "chunks", F.coalesce(content, F.lit("")).alias("content"))

@@ -53,6 +53,36 @@ def histogram_summary(obs: DataFrame, keep: int = 1000) -> DataFrame:
     )
 
 
+# --- mergeable quantile summaries ---------------------------------------------------------
+
+#: Size of a sketch, and the error of a rank, as a share of all, that it keeps with 99 % confidence.
+SKETCH_K, RANK_ERROR = 400, 0.0085
+
+
+def quantile_sketches(obs: DataFrame, width: str = "1 hour", by: tuple[str, ...] = ("name",), late: str | None = None) -> DataFrame:
+    """(by, window, n, sketch): a KLL sketch of the values of each window of obs(by, ts, value).
+
+    Sketches are some kilobytes however many values they stand for, are made within tasks before
+    anything moves, and may be merged in any order, over windows, tasks and streams.  late: the
+    watermark, for a stream.
+    """
+    rows = obs.withWatermark("ts", late) if late else obs
+    return rows.where("value is not null").groupBy(*by, F.window("ts", width).alias("window")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("value").cast("double"), SKETCH_K).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(by, n, sketch): the sketches of each group merged into one."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, qs: tuple[float, ...] = (0.5, 0.95, 0.99), by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """(by, n, q, value): values whose rank is q but for about RANK_ERROR."""
+    at = lambda q: F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value"))
+    return sketches.select(*by, "n", F.inline(F.array(*[at(q) for q in qs])))
+
+
 def _violation(metric: Column, threshold: float, actual: Column, broken: Column) -> Column:
     return F.when(
         broken, F.struct(metric.alias("metric"), F.lit(threshold).alias("threshold"), actual.cast("double").alias("actual"))

@@ -313,7 +313,8 @@ def retrieve(
     did not find have no score of their own: only the boost.
     """
     found = apply_filters(chunks, filters or {})
-    hits = hybrid_search(found, queries, top_k).select("query_id", "id", "rrf_score")
+    # at most top_k rows a query, which six parts of the plan read
+    hits = durable(hybrid_search(found, queries, top_k).select("query_id", "id", "rrf_score"))
     place = found.select("id", "message_id", "parent_message_id", "chunk_index", "embedding")
     rows = hits.join(place, "id").join(queries.select("query_id", "query_embedding"), "query_id")
     near = stitch_neighbours(rows, found, window).where("stitched").select("query_id", "id", F.lit("neighbour").alias("origin"))
@@ -330,7 +331,7 @@ def retrieve(
         .withColumn("boosted_score", F.round(F.coalesce("rrf_score", F.lit(0.0)) + boost, 9))
     )
     ranked, _ = rerank_with_fallback(scored, scorers or [], top_n or top_k)
-    ranked = ranked.select("query_id", "id", "message_id", "chunk_index", "rank", "boosted_score", "origin")
+    ranked = durable(ranked.select("query_id", "id", "message_id", "chunk_index", "rank", "boosted_score", "origin"))
     more = complete_siblings(ranked, found).where("is_sibling").select(
         "query_id", "id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("boosted_score"), F.lit("sibling").alias("origin")
     )

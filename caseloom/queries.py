@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from caseloom.functions import patterns as P
 from caseloom.functions import text as T
@@ -472,14 +473,11 @@ def validation_status(spark: SparkSession, d: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    ranked = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(-F.col("n_chars"), "doc_id", name.alias("name")))).alias("r"))
-    retrieved = ranked.select("source", F.slice(F.transform("r", lambda x: x["name"]), 1, 20).alias("retrieved"))
-    good = docs.join(labels.where("quality = 1"), "doc_id").groupBy("source").agg(F.collect_list(name).alias("relevant"))
-    r, g = F.col("retrieved"), F.col("relevant")
-    return retrieved.join(good, "source").select(
-        "source", F.round(evaluation.precision_at_k(r, g, 10), 6).alias("precision_at_k"),
-        F.round(evaluation.recall_at_k(r, g, 10), 6).alias("recall_at_k"), F.round(evaluation.reciprocal_rank(r, g), 6).alias("reciprocal_rank"),
-    )
+    order = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    retrieved = docs.select(F.col("source").alias("key"), name.alias("item"), order.alias("rank")).where("rank <= 20")
+    good = docs.join(labels.where("quality = 1"), "doc_id").select(F.col("source").alias("key"), name.alias("item"))
+    found = evaluation.rank_metrics(retrieved, good, 10).join(good.select("key").distinct(), "key", "left_semi")
+    return found.select(F.col("key").alias("source"), *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "reciprocal_rank")])
 
 
 @query(

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from caseloom import feature_queries, index_queries, source_queries  # noqa: F401  add their queries to core's
+from caseloom import feature_queries, index_queries, source_queries, time_queries  # noqa: F401  add their queries to core's
 from caseloom import queries as core
 
 SF = "/root/testdata/sf0.001"
