@@ -40,7 +40,7 @@ from caseloom.llm.runtime import durable, partitions
 from caseloom.llm.textcore import slices
 
 LEAST_DOCS, PRIOR, BILLION, TOP_TERMS = 30, 5, 10**9, 50
-SLICE_TERMS, ROUNDS_AT_ONCE = 1 << 15, 8
+SLICE_TERMS, ROUNDS_AT_ONCE = 1 << 12, 8
 #: Distinct terms that a task adds up before it hands them on.
 HELD_TERMS = 1 << 19
 #: Bytes of words of one text that are split at a time.
