@@ -14,6 +14,7 @@ from caseloom.queries import ANSWERS, DENSITY, INTENT, PII_UNION, QUESTIONS, SEM
 from caseloom.queries import KEYWORD as KEYWORD_SQL
 from caseloom.session import durable, shared_folder
 from caseloom.sources import archive
+from caseloom.sources.versioned import UnderHold, VersionedTable
 
 # --- retriever --------------------------------------------------------------------------
 
@@ -133,6 +134,34 @@ def archive_records(spark: SparkSession, d: str) -> DataFrame:
     archive.register(spark)
     rows = spark.read.format("case_archive").load(path if "://" in path or path.startswith("file:") else f"file://{path}")
     out = durable(rows.select("custodian", "subject", "sender", "sent", F.md5("text").alias("text_md5")))
+    _remove(spark, path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# --- deletes under hold -----------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE NOT (source = 'src1' AND lang <> 'en') AND NOT (source = 'src2' AND n_chars < 2000)"""
+)
+def delete_under_hold(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the documents after two deletes, and a refused one of rows under hold."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    store = VersionedTable(spark, path, docs.schema, keys=("source",))
+    store.append(docs.repartition("source", F.pmod(F.xxhash64("doc_id"), F.lit(8))))
+    store.hold("inquiry", "source = 'src1' AND lang = 'en'")
+    store.delete("source = 'src1' AND lang <> 'en'")
+    try:
+        store.delete("source = 'src1'")
+    except UnderHold:
+        pass
+    store.delete("source = 'src2' AND n_chars < 2000")
+    out = durable(store.read().select("doc_id", F.md5("text").alias("text_md5")))
+    _remove(spark, path)
     return out
