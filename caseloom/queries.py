@@ -48,7 +48,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
-    return items.join(vectors, items["item_id"] == vectors["vec_id"]).select(
+    return items.join(vectors, items["item_id"] == vectors["vec_id"], "left").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_embedding")
     )
 
@@ -66,12 +66,12 @@ def mails(spark: SparkSession, d: str) -> DataFrame:
 CHUNKS = """chunks AS (SELECT doc_id AS id, text AS content, embedding, source, lang AS doc_type
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
 QUESTIONS = """questions AS (SELECT item_id AS query_id, text AS query, embedding AS query_embedding
-  FROM benchmark JOIN embeddings ON vec_id = item_id)"""
+  FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"""
 TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{3,}}'))"
 SEMANTIC = """semantic AS (SELECT query_id, id, similarity, row_number() OVER
     (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, id) AS rank
   FROM (SELECT query_id, id, round(list_cosine_similarity(embedding::DOUBLE[], query_embedding::DOUBLE[]), 9) AS similarity
-    FROM chunks, questions WHERE embedding IS NOT NULL) QUALIFY rank <= {n})"""
+    FROM chunks, questions WHERE embedding IS NOT NULL AND query_embedding IS NOT NULL) QUALIFY rank <= {n})"""
 KEYWORD = (
     "keyword AS (SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank"
     " FROM (SELECT query_id, id, count(*) AS hits FROM"
@@ -733,10 +733,17 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return governance.upsert(old, new, ["o_custkey"], "version").select("o_custkey", "o_orderkey", "o_orderdate")
 
 
-@query("SELECT nation.n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey, o_custkey, true AS conflict_refused FROM orders")
 def unique_insert_check(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return governance.unique_insert(nation.where("n_nationkey < 10"), nation.where("n_nationkey >= 10"), ["n_nationkey"])
+    """Orders inserted into others, after an insert with keys that are there has been refused."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    old, new = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")
+    try:
+        governance.unique_insert(old, orders, ["o_orderkey"])
+        refused = False
+    except ValueError:
+        refused = True
+    return governance.unique_insert(old, new, ["o_orderkey"]).withColumn("conflict_refused", F.lit(refused))
 
 
 SQL_TEXT = """WITH o AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY o_custkey)
@@ -771,10 +778,15 @@ def case_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MAILS} SELECT id, 'gen-' || substr(sha256(left(content, 500)), 1, 16) AS message_key, '' AS thread_key FROM mails"""
+    f"""WITH {MAILS} SELECT id, CASE WHEN chunk_index % 2 = 0 THEN 'm' || id || '@caseloom' ELSE 'gen-' || substr(sha256(left(
+      CASE WHEN chunk_index % 3 = 0 THEN '' ELSE 'In-Reply-To: <t' || message_id || '@caseloom>' || chr(10) END || content, 500)), 1, 16) END AS message_key,
+    CASE WHEN chunk_index % 3 = 0 THEN '' ELSE 't' || message_id || '@caseloom' END AS thread_key FROM mails"""
 )
 def message_thread_ids(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("content")
+    """Ids of mails: every second one has its own, two in three say what they answer."""
+    own = F.when(F.col("chunk_index") % 2 == 0, F.concat(F.lit("Message-ID: <m"), F.col("id").cast("string"), F.lit("@caseloom>\n"))).otherwise("")
+    thread = F.when(F.col("chunk_index") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("In-Reply-To: <t"), F.col("message_id"), F.lit("@caseloom>\n")))
+    c = F.concat(own, thread, F.col("content"))
     return mails(spark, d).select("id", T.message_id(c).alias("message_key"), T.thread_id(c).alias("thread_key"))
 
 
