@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import patterns as P
-from caseloom.operators import retrieval
+from caseloom.operators import governance, retrieval
 from caseloom.plans import readonly_sql
 from caseloom.queries import ANSWERS, DENSITY, INTENT, PII_UNION, QUESTIONS, SEMANTIC, TOKENS, answers, query, questions, table
 from caseloom.queries import KEYWORD as KEYWORD_SQL
 from caseloom.session import durable, shared_folder
 from caseloom.sources import archive
+from caseloom.sources.tables import append_chunks
 from caseloom.sources.versioned import UnderHold, VersionedTable
 
 # --- retriever --------------------------------------------------------------------------
@@ -165,3 +166,34 @@ def delete_under_hold(spark: SparkSession, d: str) -> DataFrame:
     out = durable(store.read().select("doc_id", F.md5("text").alias("text_md5")))
     _remove(spark, path)
     return out
+
+
+# --- diagnostics ------------------------------------------------------------------------
+
+
+@query("SELECT lang AS case_id, count(*) AS rows, true AS stored, true AS own_files FROM documents GROUP BY lang")
+def relation_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each case in a stored table, and whether its files have a size and are its own."""
+    path = f"{shared_folder(spark).rstrip('/')}/sizes-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").withColumnRenamed("lang", "case_id")
+    append_chunks(docs, path)
+    stored = spark.read.parquet(path)
+    sizes = governance.relation_sizes(stored, "case_id")
+    shared = governance.stored_files(stored, "case_id").groupBy("file").agg(F.count_distinct("key").alias("keys"), F.first("key").alias("key"))
+    own = shared.groupBy("key").agg((F.max("keys") == 1).alias("own_files"))
+    out = durable(sizes.join(own, "key").select(F.col("key").alias("case_id"), "rows", (F.col("bytes") > 0).alias("stored"), "own_files"))
+    _remove(spark, path)
+    return out
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls,"
+        f" {f'count(*) FILTER (length(trim({c})) = 0)' if text else 'CAST(0 AS BIGINT)'} AS blanks,"
+        f" {f'round(avg(strlen({c})), 4)' if text else '-1.0::DOUBLE'} AS mean_bytes FROM documents"
+        for c, text in (("doc_id", False), ("text", True), ("lang", True), ("source", True), ("n_chars", False))
+    )
+)
+def column_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    found = governance.column_diagnostics(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    return found.select("column", "rows", "nulls", "blanks", F.coalesce(F.round("mean_bytes", 4), F.lit(-1.0)).alias("mean_bytes"))

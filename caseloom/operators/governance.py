@@ -37,6 +37,55 @@ def data_inventory(chunks: DataFrame, policies: DataFrame, now: Column, default_
     )
 
 
+#: A file below this size costs more to open than to read.
+SMALL_FILE = 16 << 20
+
+
+def stored_files(table: DataFrame, key: str | None = None) -> DataFrame:
+    """(key, file, rows, bytes) of the files that a table was read from; a file with rows of several
+    keys has a row for each."""
+    about = table.metadataColumn("_metadata")
+    group = [table[key].alias("key")] if key else [F.lit(None).cast("string").alias("key")]
+    rows = table.select(*group, about.getField("file_path").alias("file"), about.getField("file_size").alias("bytes"))
+    return rows.groupBy("key", "file", "bytes").agg(F.count(F.lit(1)).alias("rows")).select("key", "file", "rows", "bytes")
+
+
+def relation_sizes(table: DataFrame, key: str) -> DataFrame:
+    """(key, rows, files, bytes) of a stored table by key, such as a case: bytes of its files, those
+    it shares with other keys in proportion to its rows."""
+    files = stored_files(table, key)
+    whole = files.groupBy("file").agg(F.sum("rows").alias("in_file"))
+    share = F.col("bytes") * F.col("rows") / F.col("in_file")
+    return files.join(whole, "file").groupBy("key").agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.round(F.sum(share)).cast("long").alias("bytes")
+    )
+
+
+def table_diagnostics(table: DataFrame) -> DataFrame:
+    """One row on a stored table's files: files, bytes, rows, files below SMALL_FILE, and the largest
+    file's share of the rows; a hint whether to compact it or to deal it anew."""
+    files = stored_files(table)
+    return files.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum((F.col("bytes") < SMALL_FILE).cast("long")), F.lit(0)).alias("small_files"),
+        F.coalesce(F.max("rows") / F.sum("rows"), F.lit(0.0)).alias("largest_share"),
+    )
+
+
+def column_diagnostics(table: DataFrame) -> DataFrame:
+    """(column, type, rows, nulls, blanks, mean_bytes) of each column, in one pass; blanks are texts
+    of white space, mean_bytes those of filled texts."""
+    texts = {c for c, t in table.dtypes if t == "string"}
+    col = lambda c: F.col(f"`{c}`")
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
+    one = lambda c, t: F.struct(
+        F.lit(c).alias("column"), F.lit(t).alias("type"), F.count(F.lit(1)).alias("rows"), count(col(c).isNull()).alias("nulls"),
+        (count(F.trim(col(c)) == "") if c in texts else F.lit(0).cast("long")).alias("blanks"),
+        (F.avg(F.octet_length(col(c))) if c in texts else F.lit(None).cast("double")).alias("mean_bytes"),
+    )
+    return table.agg(F.array(*[one(c, t) for c, t in table.dtypes]).alias("found")).select(F.inline("found"))
+
+
 def source_lists(chunks: DataFrame) -> DataFrame:
     """(case_id, sources): the sorted distinct sources of each case."""
     return chunks.groupBy("case_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
