@@ -221,7 +221,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, slice_terms: int =
         .withColumn("in_docs", F.sum("docs").over(Window.partitionBy(*term)))
     )
     counts = durable(
-        summed.where((F.col("in_docs") >= least_docs) | (F.col("term") == "")).select("lang", "term", "source", "n"), 4
+        summed.where((F.col("in_docs") >= least_docs) | (F.col("term") == "")).select("lang", "term", "source", "n")
     )
     kept = counts.where("term != ''")
     vocabulary = kept.groupBy(*term).agg(F.sum("n").alias("n"))
