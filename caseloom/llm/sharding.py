@@ -221,7 +221,9 @@ class ShardedTable:
     def compact(self, threads: int = 4) -> int:
         """One round of merges, committed as one version; 0 if there is nothing to merge.
 
-        A merge reads its files in one task and writes one file, without a shuffle.
+        A merge reads its files in one task and writes one file, without a shuffle.  Where that comes
+        out above the target and is split into as many files as there were, they stay as they are:
+        each committed merge leaves fewer files, so rounds come to an end.
         """
         at = self.version()
         now = self.shards(at)
@@ -234,8 +236,11 @@ class ShardedTable:
             return self._write(rows.coalesce(1), 1 + max(s.generation for s in group))
 
         with ThreadPoolExecutor(threads) as pool:
-            merged = [s for out in pool.map(merge, groups) for s in out]
-        gone = {s.path for g in groups for s in g}
+            done = [(g, out) for g, out in zip(groups, pool.map(merge, groups), strict=True) if len(out) < len(g)]
+        if not done:
+            return 0
+        merged = [s for _, out in done for s in out]
+        gone = {s.path for g, _ in done for s in g}
         return self.commit([*[s for s in now if s.path not in gone], *merged], at)
 
     def compact_fully(self) -> int:
@@ -285,17 +290,19 @@ class ShardedTable:
         return self._rows(listed, about, f"file string, `{shard}` int", self.schema.names)
 
     def _rows(self, listed: list[Shard], about: list[tuple], schema: str, columns: list[str]) -> DataFrame:
-        """Columns of the rows of listed files, with what is said about each file's name."""
+        """Columns of the rows of listed files, with what is said about each file."""
         rows = self.spark.read.schema(self.schema).parquet(*[s.path for s in listed])
         told = self.spark.createDataFrame(about, schema)
         extra = [told[c] for c in told.columns if c != "file"]
-        # a file name holds a unique id; one row a shard, broadcast by its measured size only
-        file = rows.metadataColumn("_metadata").getField("file_name")
+        # folder and name: a task gives the files of several arrivals one name; one row a shard,
+        # broadcast by its measured size only
+        file = F.regexp_extract(rows.metadataColumn("_metadata").getField("file_path"), "([^/]+/[^/]+)$", 1)
         return rows.join(told, file == told["file"]).select(*[rows[f"`{c}`"] for c in columns], *extra)
 
 
 def _name(path: str) -> str:
-    return path.rsplit("/", 1)[1]
+    """The folder and the name of a file, which no other file shares."""
+    return "/".join(path.rsplit("/", 2)[1:])
 
 
 def shard_documents(docs: DataFrame, root: str | None = None, policy: Policy | None = None, arrivals: int = 1) -> DataFrame:

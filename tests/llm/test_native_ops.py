@@ -410,3 +410,14 @@ def test_redaction_keeps_columns_named_like_its_own(spark):
     )
     got = sorted(map(tuple, secrets.redact(df).collect()))
     assert got == [(1, "[SECRET]", "b", "a", "t", "x"), (2, None, "b", "a", "t", "x")]
+
+
+def test_compaction_ends_where_merged_files_are_split_again(spark, tmp_path, monkeypatch):
+    """A merge whose file is split into as many as before changes nothing, and is no endless loop."""
+    store = sharding.ShardedTable(spark, f"file://{tmp_path}/t", T.StructType.fromDDL("doc_id long, text string"), SMALL)
+    for k in range(3):
+        store.append(spark.createDataFrame([(k, "x"), (k + 10, "y")], "doc_id long, text string").coalesce(1))
+    before = store.shards()
+    written = sharding.ShardedTable._write
+    monkeypatch.setattr(sharding.ShardedTable, "_write", lambda self, df, *a: written(self, df.repartition(3, "doc_id"), *a) * 2)
+    assert SMALL.merges(before) and store.compact_fully() == 0 and store.shards() == before
