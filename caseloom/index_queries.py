@@ -48,10 +48,9 @@ def _text_index(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
 )
 def fulltext_index_any_word(spark: SparkSession, d: str) -> DataFrame:
     """Documents for any word of each benchmark item, by the index."""
-    items = table(spark, d, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != ""), " or ").alias("query"),
-    )
+    # in quotes, as a word of an item may be "or"
+    words = F.transform(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.concat(F.lit('"'), w, F.lit('"')))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " or ").alias("query"))
     return _text_index(spark, d, items)
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from caseloom import index_queries
 from caseloom.operators import text_index
 from caseloom.plans.keyword import ranked_top
 
@@ -76,3 +77,11 @@ def test_bounds_leave_ranges_out(spark, tables, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     index = text_index.build(spark.createDataFrame([], "id long, content string"), f"file://{tmp_path}/e")
     assert index.search(spark.createDataFrame([(1, "word")], "query_id long, query string"), 3).count() == 0
+
+
+def test_a_word_of_an_item_may_be_or(spark, tmp_path):
+    docs = ["this or that or those", "this", "or", "that that that", "none"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "This or that: or")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = index_queries.fulltext_index_any_word(spark, str(tmp_path))
+    assert rows(got) == [(1, 1, 0, 0.6), (1, 2, 3, 0.3), (1, 3, 2, 0.2), (1, 4, 1, 0.1)]
