@@ -85,3 +85,20 @@ def test_a_word_of_an_item_may_be_or(spark, tmp_path):
     spark.createDataFrame([(1, "This or that: or")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = index_queries.fulltext_index_any_word(spark, str(tmp_path))
     assert rows(got) == [(1, 1, 0, 0.6), (1, 2, 3, 0.3), (1, 3, 2, 0.2), (1, 4, 1, 0.1)]
+
+
+def test_blocks_move_once_whatever_the_conjunctions(spark, tmp_path):
+    """Postings of a common word are not copied for each conjunction that names it."""
+    docs = spark.createDataFrame([(i, f"common w{i % 40} common w{i % 39} end") for i in range(2000)], "id long, content string").repartition(2)
+    index = text_index.build(docs, f"file://{tmp_path}/c", analyser="plain", range_docs=500)
+    asked = spark.createDataFrame([(i, f'"common w{i}" or "w{i} common"') for i in range(40)], "query_id long, query string")
+
+    def moved():
+        jvm = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    got = index.search(asked, 3).collect()
+    # 80 conjunctions by 2,000 postings of "common" were over 160,000 rows
+    assert len(got) == 120 and moved() - before < 5_000
