@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,16 +84,31 @@ def breaker_stream(calls: DataFrame) -> DataFrame:
 
 
 def breaker_batch(calls: DataFrame) -> DataFrame:
-    """The same for a table: one fold for each upstream over its calls in order."""
+    """The same for a table: one fold for each upstream over its calls in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, rows = CLOSED, []
-        for r in pdf.sort_values(["ts", "seq"]).itertuples():
-            now, name, allowed = breaker_step(now, r.ts.timestamp(), bool(r.ok))
-            rows.append((r.upstream, r.seq, name, allowed))
-        return pd.DataFrame(rows, columns=["upstream", "seq", "state", "allowed"])
+    Calls are sorted by Spark and come to the fold in batches, so a task holds a batch of them and
+    one state, however many calls an upstream has.
+    """
 
-    return calls.groupBy("upstream").applyInPandas(run, "upstream string, seq long, state string, allowed boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upstream, now = None, CLOSED
+        for batch in batches:
+            names, states, allowed = batch.column(0).to_pylist(), [], []
+            for name, at, ok in zip(names, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if name != upstream:
+                    upstream, now = name, CLOSED
+                now, state, let = breaker_step(now, at / 1e6, ok)
+                states.append(state)
+                allowed.append(let)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(allowed, pa.bool_())], ["upstream", "seq", "state", "allowed"]
+            )
+
+    rows = calls.select(
+        F.col("upstream").cast("string"), F.col("seq").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("ok").cast("boolean")
+    )
+    ordered = rows.repartition("upstream").sortWithinPartitions("upstream", F.asc_nulls_last("at"), F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(run, "upstream string, seq long, state string, allowed boolean")
 
 
 def ingest_stream(spark: SparkSession, folder: str, schema, transform, sink: str, checkpoint: str) -> StreamingQuery:

@@ -104,3 +104,16 @@ def test_buffers_hold_the_last_values(spark, tmp_path):
         assert (last["seen"], last["held"]) == (len(values), 100)
         assert last["mean"] == pytest.approx(sum(kept) / 100) and (last["p50"], last["p95"]) == (kept[50], kept[95])
     assert all(r["held"] <= 100 for r in got)
+
+
+def test_batch_breakers_stream_each_upstream(spark, calls):
+    """A table gives the fold too, over many batches of an upstream; no task gets one whole."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = events.breaker_batch(spark.createDataFrame(calls, SCHEMA).repartition(5))
+        assert {r["seq"]: (r["state"], r["allowed"]) for r in got.collect()} == fold(calls)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
