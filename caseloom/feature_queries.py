@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import patterns as P
 from caseloom.operators import governance, retrieval
 from caseloom.plans import readonly_sql
-from caseloom.queries import ANSWERS, DENSITY, INTENT, PII_UNION, QUESTIONS, SEMANTIC, TOKENS, answers, query, questions, table
+from caseloom.queries import ANSWERS, DENSITY, INTENT, PII_UNION, QUESTIONS, SEMANTIC, TOKENS, answers, query, questions, table, with_vectors
 from caseloom.queries import KEYWORD as KEYWORD_SQL
 from caseloom.session import durable, shared_folder
 from caseloom.sources import archive
@@ -27,10 +27,9 @@ MESSAGES = """chunks AS (SELECT doc_id AS id, text AS content, embedding, 'm' ||
 
 
 def message_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
     message = F.floor(F.col("doc_id") / 4).cast("long")
     none = F.lit(None).cast("string")
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
+    return with_vectors(table(spark, d, "documents"), "doc_id", table(spark, d, "embeddings")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding",
         F.concat(F.lit("m"), message.cast("string")).alias("message_id"),
         F.when(message % 3 == 1, F.concat(F.lit("m"), (message - 1).cast("string"))).alias("parent_message_id"),

@@ -34,6 +34,8 @@ def shortened(query: Column, loop: int) -> Column:
 
 def _retrieve(chunks: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     hits = retrieval.hybrid_search(chunks, queries, top_k).select("query_id", "id", "rrf_score", "rank")
+    if retrieval.few(queries, retrieval.MOST_QUERIES):
+        hits = F.broadcast(hits)  # top_k ids a query; the texts stay where they are
     return hits.join(chunks.select("id", "content", "source"), "id")
 
 

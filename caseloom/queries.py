@@ -39,16 +39,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def with_vectors(rows: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
+    """rows with the embedding that has their key as vec_id, or null.
+
+    Where no vec_id repeats, vectors are grouped by it.  Spark then knows that a row has one at
+    most, and leaves the join out for all that does not read embeddings: texts are not shuffled.
+    """
+    if vectors.where("vec_id is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        vectors = vectors.groupBy("vec_id").agg(F.first("embedding").alias("embedding"))
+    return rows.join(vectors, rows[key] == vectors["vec_id"], "left")
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
+    return with_vectors(table(spark, d, "documents"), "doc_id", table(spark, d, "embeddings")).select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), "embedding", "source", F.col("lang").alias("doc_type")
     )
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    items, vectors = table(spark, d, "benchmark"), table(spark, d, "embeddings")
-    return items.join(vectors, items["item_id"] == vectors["vec_id"], "left").select(
+    return with_vectors(table(spark, d, "benchmark"), "item_id", table(spark, d, "embeddings")).select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_embedding")
     )
 
