@@ -14,7 +14,7 @@ from caseloom.functions import patterns as P
 
 def lines(text: Column) -> Column:
     """Lines of the trimmed text; other line ends than \\n are normalised first."""
-    return F.split(F.regexp_replace(strip(text), r"\r\n?|\x0B|\x0C|\x1C|\x1D|\x1E|\x85| | ", "\n"), "\n")
+    return F.split(F.regexp_replace(strip(text), r"\r\n?|[\x0B\x0C\x1C-\x1E\x85  ]", "\n"), "\n")
 
 
 def strip(text: Column) -> Column:
@@ -34,17 +34,23 @@ def share_of_lines(text: Column, test) -> Column:
 
 def content_density(text: Column) -> Column:
     """'dense', 'conversational' or 'normal'; dense is tested first."""
-    split = F.filter(lines(text), lambda x: ~blank(x))
-    average = F.aggregate(split, F.lit(0), lambda a, x: a + F.length(x)) / F.size(split)
+    # number and length of the lines that are not blank, found once for all that is asked of them
+    count = lambda a, x: F.when(blank(x), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["size"] + F.length(x)).alias("size")))
+    held = F.array(F.aggregate(lines(text), F.struct(F.lit(0).alias("n"), F.lit(0).alias("size")), count))
     words = F.size(F.filter(F.split(strip(text), r"\s+"), lambda w: w != ""))
     legal = F.regexp_count(text, F.lit(P.LEGAL)) / F.greatest(words, F.lit(1))
     informal = F.regexp_count(text, F.lit(P.INFORMAL))
-    return (
-        F.when(text.isNull() | (F.length(text) < 50) | (F.size(split) == 0), "normal")
-        .when((legal > 0.03) | (average > 120), "dense")
-        .when((informal >= 2) | (average < 50), "conversational")
-        .otherwise("normal")
-    )
+
+    def told(x: Column) -> Column:
+        average = x["size"] / x["n"]
+        return (
+            F.when(x["n"] == 0, "normal")
+            .when((average > 120) | (legal > 0.03), "dense")
+            .when((average < 50) | (informal >= 2), "conversational")
+            .otherwise("normal")
+        )
+
+    return F.when(text.isNull() | (F.length(text) < 50), "normal").otherwise(F.element_at(F.transform(held, told), 1))
 
 
 def chunk_size(text: Column, base: int = 1024, dense: int = 512, conversational: int = 1500) -> Column:

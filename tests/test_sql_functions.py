@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import registry
+from caseloom.functions import text as T
 from caseloom.operators.chunking import email_segments, split_recursively
 from caseloom.plans import readonly_sql
 
@@ -55,3 +56,8 @@ def test_functions_are_refused_where_not_asked_for(spark, docs):
     for bad in ("SELECT * FROM chunk_texts(TABLE(SELECT * FROM other))", "SELECT * FROM unknown_function(TABLE(docs))", "SELECT java_method('a', 'b')"):
         with pytest.raises(readonly_sql.NotReadOnly):
             readonly_sql.run(spark, {"docs": docs}, bad, functions=True)
+
+
+def test_lines_of_a_text_are_found_once(spark):
+    """Each use of the lines within the expression would split the text again."""
+    assert registry.sql_text(T.content_density(F.col("t"))).count("split(regexp_replace(regexp_replace(") == 1
