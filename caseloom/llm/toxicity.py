@@ -128,15 +128,23 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """A model of whole texts; with one label only, one that gives every text that label."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=float)
-    hashes, heads = [], []
-    for _, _, w, offsets, h in textcore.batch_word_hashes(_encode(texts), PREFIX, alnum=True):
-        for i in range(len(offsets) - 1):
-            hashes.append(w[offsets[i] : offsets[i + 1]])
-            heads.append(buckets(h[offsets[i] : offsets[i + 1]]))
-    words = [buckets(x) for x in hashes]
     part = rng.permutation(len(texts))
     n_held = len(texts) // 5
     held, train = part[:n_held], part[n_held:]
+    kept = set(held.tolist())
+    # buckets of a batch are one array of four bytes a word, later overwritten by rows of the table, and
+    # the texts' words are views of it; hashes stay for the texts that calibrate languages only
+    hashes: dict[int, np.ndarray] = {}
+    words, heads, batches = [], [], []
+    for _, _, w, offsets, h in textcore.batch_word_hashes(_encode(texts), PREFIX, alnum=True):
+        own = [buckets(x).astype(np.int32) for x in (w, h)]
+        batches.append(own)
+        for i in range(len(offsets) - 1):
+            if len(words) in kept:
+                hashes[len(words)] = w[offsets[i] : offsets[i + 1]].copy()
+            words.append(own[0][offsets[i] : offsets[i + 1]])
+            heads.append(own[1][offsets[i] : offsets[i + 1]])
+        w = h = None  # the last batch's would stay
     embed = [np.zeros((1, DIM))]
     row_of = []
     for dim, found in enumerate((words, heads)):
@@ -159,10 +167,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         model.out[:] = 0
         model.out_bias = 4.0 if labels and labels[0] else -4.0
         return model
-    w_slots = [model.words[x] for x in words]
-    h_slots = [model.heads[x] for x in heads]
-    _train(model, w_slots, h_slots, y, train, rng)
-    _calibrate(model, hashes, w_slots, h_slots, y, held)
+    for w, h in batches:
+        w[:], h[:] = model.words[w], model.heads[h]
+    _train(model, words, heads, y, train, rng)
+    _calibrate(model, hashes, words, heads, y, held)
     return model
 
 
